@@ -1,24 +1,30 @@
 """Links between rows that share a listed key, and the groups the links make.
 
-``linked_groups`` never emits all pairs of a list. The members of a list are
-ordered by how central they are; short lists are compared whole, long ones
-against a doubling number of central members ("hubs") per round. Between rounds
-groups are formed, and only lists whose untested members still lie in different
-groups go on, so a list ends when every pair in it has been tested or is known
-to be in one group. No pair is left out, and no partner is capped.
+``linked_groups`` never emits all pairs of a list. First each list is a star:
+its most central member (its "hub") is compared with every other. Groups are
+formed, and lists whose members now lie in one group are settled: no pair in
+them can change anything. Of the others, short ones are compared whole across
+groups; long ones are split by finer keys, and stars again where still long.
+What stays unsettled is gathered by hub and compared in blocks of bounded size:
+the members outside a gathering's largest group against all its members, within
+a task's memory, returning links alone. No partner is capped or left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.spark_io import Scratch
 
-#: Lists up to this length are compared whole in the first round.
-SHORT_LIST = 12
+#: Unsettled lists up to this length are compared whole.
+SHORT_LIST = 24
+#: Members of a block: those that look for links, and those looked at.
+SEEKERS, SOUGHT = 128, 1024
 
 
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -30,11 +36,10 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     current = scratch.write(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    seen = None
     while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(down, "u")
@@ -44,12 +49,11 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             .distinct()
         )
         after = scratch.write(small)
-        state = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(1), "u"))).first()
         scratch.drop(current)
         current = after
-        if state == seen or not state[0]:
+        # done when every edge leads to a centre: no lower end of an edge is an upper end of another
+        if current.join(current.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty():
             break
-        seen = state
     own = current.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
     return current.select(F.col("u").alias("id"), F.col("v").alias("component")).union(own)
 
@@ -57,54 +61,96 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
 def linked_groups(
     scratch: Scratch,
     postings: DataFrame,
+    finer: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-) -> tuple[DataFrame, DataFrame]:
-    """Groups of ids linked by ``verify`` among ids that share a key.
-
-    postings: (key, id, weight); a higher weight is more central. verify takes
-    distinct (a, b) and returns those linked. Returns (id, component) of every id
-    that has a link, and the links found, a spanning set of each group.
+    payload: Callable[[DataFrame], DataFrame],
+    links_within: Callable[[list[bytes], list[bytes], np.ndarray, np.ndarray], Iterator[tuple[int, int]]],
+) -> DataFrame:
+    """(id, component) of every id linked to another that shares a key.
+
+    postings: (key, id). finer: (parent, key, id), the lists that a long list of
+    key ``parent`` is split into. verify takes distinct (a, b), a < b, and
+    returns those linked. payload returns (id, payload binary) for ids;
+    links_within takes payloads and groups of seekers and sought, and yields
+    positions of links between different groups, enough to join what is joined.
     """
     sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     listed = scratch.write(postings.join(sizes, "key"))
-    short = listed.where(F.col("n") <= SHORT_LIST)
-    left, right = short.select("key", F.col("id").alias("a")), short.select("key", F.col("id").alias("b"))
-    pairs = left.join(right, "key").where("a < b").select("a", "b")
-
-    long = listed.where(F.col("n") > SHORT_LIST).select("key", "id", "weight")
-    hub = long.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id")).alias("h")).select("key", F.col("h.id").alias("hub"))
-    star = long.join(hub, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-    links = scratch.write(verify(pairs.union(star).distinct()))
+    # central: much of it is shared by many
+    weights = listed.groupBy("id").agg(F.sum("n").alias("weight"))
+    listed = scratch.write(listed.join(weights, "id"))
+    links = scratch.write(verify(_star(listed).distinct()))
     groups = scratch.write(connected_components(scratch, links))
 
-    # What is left of a long list: members after its hub, if they lie in two groups or more.
-    rest = scratch.write(_unsettled(long.join(hub, "key").where("id <> hub").drop("hub"), groups))
-    hubs = 2
-    while not rest.isEmpty():
-        order = Window.partitionBy("key").orderBy(F.desc("weight"), "id")  # a top-k per key: cut before the exchange
-        front = rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hubs)
-        front = scratch.write(front.select("key", F.col("id").alias("h"), F.col("weight").alias("hw"), F.col("component").alias("hc")))
-        after_hub = (F.col("weight") < F.col("hw")) | ((F.col("weight") == F.col("hw")) & (F.col("id") > F.col("h")))
-        tested = (
-            rest.join(front, "key")
-            .where(after_hub & (F.col("component") != F.col("hc")))
-            .select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
-            .distinct()
-        )
-        more = scratch.write(verify(tested))
-        if not more.isEmpty():
-            links = scratch.write(links.union(more))
-            groups = scratch.write(connected_components(scratch, links))
-        tail = rest.drop("component").join(front.select("key", F.col("h").alias("id")), ["key", "id"], "left_anti")
-        left_over = scratch.write(_unsettled(tail, groups))
-        scratch.drop(rest)
-        scratch.drop(front)
-        rest = left_over
-        hubs *= 2
-    return groups, links
-
-
-def _unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
-    named = members.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_lists = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return named.join(open_lists, "key", "left_semi").select("key", "id", "weight", "component")
+    rest = scratch.write(_unsettled(listed, groups, "key"))
+    if rest.isEmpty():
+        return groups
+    long = rest.where(F.col("n") > SHORT_LIST)
+    split = long.select(F.col("key").alias("parent"), "id", "weight", "component").join(finer, ["parent", "id"])
+    split = split.select("key", "id", "weight", "component").distinct()
+    counted = split.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    split = scratch.write(split.join(counted, "key"))
+    still = split.where(F.col("n") > SHORT_LIST)
+    pairs = _across(rest.where(F.col("n") <= SHORT_LIST)).union(_across(split.where(F.col("n") <= SHORT_LIST))).union(_star(still, True))
+    groups, links = _extend(scratch, verify(pairs.distinct()), groups, links)
+
+    hub = still.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("id").alias("hub"))).alias("h")).select("key", "h.hub")
+    gathered = _unsettled(still, groups, "key").join(hub, "key").select("hub", "id").distinct()
+    rest = scratch.write(_unsettled(gathered, groups, "hub"))
+    if rest.isEmpty():
+        return groups
+    return _extend(scratch, _blocks(scratch, rest, payload, links_within), groups, links)[0]
+
+
+def _blocks(scratch: Scratch, rest: DataFrame, payload, links_within) -> DataFrame:
+    """Links between groups within each gathering (hub, id, component), block by block."""
+    by_group = rest.groupBy("hub", "component").agg(F.count("*").alias("n"))
+    shape = by_group.groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    shape = shape.select("hub", "main", F.ceil((F.col("all") - F.col("most")) / SEEKERS).alias("rows"), F.ceil(F.col("all") / SOUGHT).alias("cols"))
+    row, col = F.pmod(F.xxhash64("id"), F.col("rows")), F.pmod(F.xxhash64("id", F.lit(1)), F.col("cols"))
+    shaped = rest.join(shape, "hub")
+    seek = shaped.where("component <> main").select("hub", "id", "component", F.lit(True).alias("seeks"), row.alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("col"))
+    sought = shaped.select("hub", "id", "component", F.lit(False).alias("seeks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"), col.alias("col"))
+    loads = scratch.write(payload(scratch.write(rest.select("id").distinct())))
+    placed = seek.unionByName(sought).join(loads, "id").select("hub", "row", "col", "id", "component", "seeks", "payload")
+
+    def compare(block: pa.Table) -> pa.Table:
+        ids, group = np.asarray(block["id"]), np.asarray(block["component"])
+        seeks = np.asarray(block["seeks"])
+        loads_ = block["payload"].to_pylist()
+        one, other = np.flatnonzero(seeks), np.flatnonzero(~seeks)
+        found = [(ids[one[i]], ids[other[j]]) for i, j in links_within([loads_[i] for i in one], [loads_[j] for j in other], group[one], group[other])]
+        return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
+
+    return placed.groupBy("hub", "row", "col").applyInArrow(compare, "a long, b long")
+
+
+def _extend(scratch: Scratch, found: DataFrame, groups: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    more = scratch.write(found)
+    if more.isEmpty():
+        return groups, links
+    links = scratch.write(links.union(more))
+    return scratch.write(connected_components(scratch, links)), links
+
+
+def _star(lists: DataFrame, across: bool = False) -> DataFrame:
+    """Each list's hub with every other member; with ``across``, of other groups only."""
+    own = [F.col("component").alias("c")] if across else []
+    hub = lists.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("id").alias("hub"), *own)).alias("h")).select("key", "h.*")
+    apart = F.col("component") != F.col("c") if across else F.lit(True)
+    pairs = lists.join(hub, "key").where((F.col("id") != F.col("hub")) & apart)
+    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+
+
+def _across(lists: DataFrame) -> DataFrame:
+    """Pairs of members of one list that lie in different groups."""
+    left = lists.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
+    right = lists.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
+    return left.join(right, "key").where("a < b and ca <> cb").select("a", "b")
+
+
+def _unsettled(members: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Members of lists that lie in two groups or more, with their groups."""
+    named = members.drop("component").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_lists = named.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(key)
+    return named.join(open_lists, key, "left_semi")

@@ -1,14 +1,15 @@
 """Near-duplicate documents by bottom-k sketches from one hash function.
 
 A text's set is its distinct word shingles. Its sketch is the ``k`` least hash
-values of the set. Inverted lists of retained values generate overlaps, the
-sketch of the union filters, and the exact Jaccard similarity of the full sets
-decides. Only the values that come first in a global order, rarest first, are
-listed: two sets over the threshold share at least ``m`` retained values, so
-the first ``k - m + 1`` of each meet. Sets held whole by their sketch make this
-exact; for larger ones at least 12 of 32 values of the union's sketch are
-shared with a chance above 1 - 2e-7 at a similarity of exactly 0.8, and nearer
-1 above it.
+values of the set. Inverted lists generate overlaps: a list is kept for every
+two retained values that follow each other in a sketch, so a list of a common
+value is split by its neighbour. Two sets over the threshold have such a pair
+in common: if sketches hold the sets whole, always, for at a similarity of 0.8
+or more the differing values are too few to part all common ones; if not, with
+a chance of all but 2e-12 at a similarity of exactly 0.8 (no two of 40 draws of
+chance 0.8 in a row). The sketch of the union then filters (at least 16 of its
+40 values are shared but for a chance of 2e-7), and the exact Jaccard
+similarity of the full sets decides.
 
 Texts without words (null, empty, white space) have an empty set, are linked
 with nothing and stay. Rows with an equal set are one class before anything is
@@ -28,8 +29,10 @@ from palimpsest.llm import kernels
 from palimpsest.llm.components import linked_groups
 from palimpsest.llm.spark_io import Scratch
 
-SKETCH = 32
-LEAST_SHARED = 12
+SKETCH = 40
+LEAST_SHARED = 16
+#: Ids up to this many are broadcast to fetch their texts; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 
 
 def _sketch_batches(shingle: int, k: int):
@@ -61,7 +64,7 @@ def _set_batches(shingle: int):
             for lo, hi in kernels.chunks(offsets):
                 part = offsets[lo : hi + 1]
                 packed = [s.tobytes() for s in kernels.text_sets(data[part[0] : part[-1]], part - part[0], shingle)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["id", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["id", "payload"])
 
     return run
 
@@ -72,15 +75,48 @@ def _jaccard_batches(percent: int):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 left, right = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                both = np.concatenate([left, right])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
+                keep.append(_similar(left, right, percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _links_within(percent: int, k: int, least_shared: int):
+    """Links between seekers and sought (packed sorted sets) of different groups, a link for two groups at least."""
+
+    def run(seekers, sought, group, other_group):
+        mine, theirs = [np.frombuffer(p, np.int64) for p in seekers], [np.frombuffer(p, np.int64) for p in sought]
+        sizes = np.array([len(t) for t in theirs])
+        heads = [t[:k] for t in theirs]
+        values = np.concatenate(heads) if heads else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        for i, own in enumerate(mine):
+            lo, hi = np.searchsorted(values, own[:k], "left"), np.searchsorted(values, own[:k], "right")
+            many = hi - lo
+            at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            shared = np.bincount(owner[at], minlength=len(theirs))
+            # a sketch that holds its set whole shows the least overlap the similarity allows
+            need = np.where(np.maximum(sizes, len(own)) <= k, -(-np.maximum(sizes, len(own)) * percent // 100), least_shared)
+            near = (shared >= np.minimum(need, least_shared)) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own)))
+            done = {group[i]}
+            for j in np.flatnonzero(near & (other_group != group[i])):
+                if other_group[j] not in done and _similar(own, theirs[j], percent):
+                    done.add(other_group[j])
+                    yield i, j
+
+    return run
+
+
+def _similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have that Jaccard similarity."""
+    both = np.concatenate([left, right])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, k: int = SKETCH, least_shared: int = LEAST_SHARED) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) of every row; ids are unique longs."""
     spark = docs.sparkSession
@@ -91,16 +127,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     worded = sketched.where("mark is not null")
     reps = scratch.write(worded.groupBy("mark").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")))
 
-    values = reps.select(F.explode("sketch").alias("value"), "id", "n")
-    common = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    held = F.least(F.col("n"), F.lit(k))
-    # ceil(percent / 100 * n) where the sketch holds the union of any partner, else the bound for samples
-    shared = F.when(F.col("n") * 100 <= F.lit(percent * k), F.floor((F.col("n") * percent + 99) / 100)).otherwise(F.lit(least_shared))
-    prefix = held - shared + 1
-    ranked = values.join(common, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
-    listed = prefix - (held - F.size("vs"))  # values of one text only come first in the order
-    chosen = ranked.select("id", F.expr("aggregate(vs, 0D, (s, x) -> s + x.df)").alias("weight"), F.slice("vs", F.lit(1), F.greatest(listed, F.lit(0)).cast("int")).alias("vs"))
-    postings = chosen.select(F.explode("vs.value").alias("key"), "id", "weight")
+    def runs(length: int) -> DataFrame:
+        """Of each sketch all runs of that many neighbours."""
+        parts = [f"slice(sketch, {i + 1}, greatest(size(sketch) - {length - 1}, 0)) as v{i}" for i in range(length)]
+        zipped = reps.selectExpr("id", *parts).select("id", F.explode(F.arrays_zip(*(f"v{i}" for i in range(length)))).alias("v"))
+        return zipped.select("id", *(f"v.v{i}" for i in range(length)))
+
+    postings = runs(2).select(F.xxhash64("v0", "v1").alias("key"), "id")
+    finer = runs(3).select(F.xxhash64("v0", "v1").alias("parent"), F.xxhash64("v0", "v1", "v2").alias("key"), "id")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(id, payload) of a table of ids: their full sets, made again from the texts."""
+        few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        chosen = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+        return chosen.mapInArrow(_set_batches(shingle), "id long, payload binary")
 
     def verify(pairs: DataFrame) -> DataFrame:
         sketches = reps.select("id", "sketch", "n")
@@ -115,15 +155,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         whole = (F.greatest("na", "nb") <= k) & (F.size(F.array_union("sa", "sb")) <= k)
         near = near.where(F.when(whole, hits * 100 >= F.size(union) * percent).otherwise(hits >= least_shared))
         near = scratch.write(near.select("a", "b"))
-        wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = texts.join(wanted, "id", "left_semi").mapInArrow(_set_batches(shingle), "id long, members binary")
-        sets = scratch.write(sets)
-        full = near.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b").join(
-            sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a"
+        if near.isEmpty():
+            return near
+        wanted = scratch.write(near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "id"))
+        sets = scratch.write(sets_of(wanted))
+        full = near.join(sets.select(F.col("id").alias("b"), F.col("payload").alias("mb")), "b").join(
+            sets.select(F.col("id").alias("a"), F.col("payload").alias("ma")), "a"
         )
         return full.select("a", "b", "ma", "mb").mapInArrow(_jaccard_batches(percent), "a long, b long")
 
-    groups, _ = linked_groups(scratch, postings, verify)
+    groups = linked_groups(scratch, postings, finer, verify, sets_of, _links_within(percent, k, least_shared))
     classes = reps.select("mark", "id").join(groups, "id", "left").select("mark", F.coalesce("component", "id").alias("component"))
     linked = worded.select("id", "n", "mark").join(classes, "mark").select("id", "n", "component")
     alone = sketched.where("mark is null").select("id", "n", F.col("id").alias("component"))
