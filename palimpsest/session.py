@@ -23,8 +23,16 @@ def build_session(app: str = "palimpsest", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+#: Rows and bytes of an Arrow batch where the session names none: texts are long, and a batch is held whole on either side.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Give the Python workers of this session the package, once per context."""
+    named = {key for key, _ in spark.sparkContext.getConf().getAll()}
+    for key, value in ARROW_BATCH.items():
+        if key not in named:
+            spark.conf.set(key, value)
     context = spark.sparkContext
     if getattr(context, "_palimpsest_shipped", False):
         return spark
