@@ -7,12 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:
+    """The schema with further fields; ``StructType.add`` would change the one a DataFrame holds."""
+    return T.StructType([*schema.fields, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in kinds.items())])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a local one of our own where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
