@@ -61,15 +61,15 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
 def linked_groups(
     scratch: Scratch,
     postings: DataFrame,
-    finer: DataFrame,
+    finer: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame], DataFrame],
     payload: Callable[[DataFrame], DataFrame],
     links_within: Callable[[list[bytes], list[bytes], np.ndarray, np.ndarray], Iterator[tuple[int, int]]],
 ) -> DataFrame:
     """(id, component) of every id linked to another that shares a key.
 
-    postings: (key, id). finer: (parent, key, id), the lists that a long list of
-    key ``parent`` is split into. verify takes distinct (a, b), a < b, and
+    postings: (key, id). finer splits long lists: it takes (parent, id, ..) and
+    returns (key, id, ..) with the keys of the lists that ``parent`` falls into. verify takes distinct (a, b), a < b, and
     returns those linked. payload returns (id, payload binary) for ids;
     links_within takes payloads and groups of seekers and sought, and yields
     positions of links between different groups, enough to join what is joined.
@@ -86,8 +86,7 @@ def linked_groups(
     if rest.isEmpty():
         return groups
     long = rest.where(F.col("n") > SHORT_LIST)
-    split = long.select(F.col("key").alias("parent"), "id", "weight", "component").join(finer, ["parent", "id"])
-    split = split.select("key", "id", "weight", "component").distinct()
+    split = finer(long.select(F.col("key").alias("parent"), "id", "weight", "component")).select("key", "id", "weight", "component").distinct()
     counted = split.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     split = scratch.write(split.join(counted, "key"))
     still = split.where(F.col("n") > SHORT_LIST)
