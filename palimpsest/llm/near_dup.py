@@ -127,14 +127,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     worded = sketched.where("mark is not null")
     reps = scratch.write(worded.groupBy("mark").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")))
 
-    def runs(length: int) -> DataFrame:
-        """Of each sketch all runs of that many neighbours."""
+    def runs(rows: DataFrame, length: int) -> DataFrame:
+        """rows with all runs of that many neighbours of their sketches, as v0, v1 and so on."""
         parts = [f"slice(sketch, {i + 1}, greatest(size(sketch) - {length - 1}, 0)) as v{i}" for i in range(length)]
-        zipped = reps.selectExpr("id", *parts).select("id", F.explode(F.arrays_zip(*(f"v{i}" for i in range(length)))).alias("v"))
-        return zipped.select("id", *(f"v.v{i}" for i in range(length)))
+        others = [c for c in rows.columns if c != "sketch"]
+        zipped = rows.selectExpr(*others, *parts).select(*others, F.explode(F.arrays_zip(*(f"v{i}" for i in range(length)))).alias("v"))
+        return zipped.select(*others, *(f"v.v{i}" for i in range(length)))
 
-    postings = runs(2).select(F.xxhash64("v0", "v1").alias("key"), "id")
-    finer = runs(3).select(F.xxhash64("v0", "v1").alias("parent"), F.xxhash64("v0", "v1", "v2").alias("key"), "id")
+    postings = runs(reps.select("id", "sketch"), 2).select(F.xxhash64("v0", "v1").alias("key"), "id")
+
+    def finer(rows: DataFrame) -> DataFrame:
+        """A list of two neighbours is split by the next."""
+        longer = runs(rows.join(reps.select("id", "sketch"), "id"), 3).where(F.xxhash64("v0", "v1") == F.col("parent"))
+        return longer.withColumn("key", F.xxhash64("v0", "v1", "v2"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(id, payload) of a table of ids: their full sets, made again from the texts."""
