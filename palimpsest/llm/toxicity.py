@@ -154,12 +154,10 @@ def _logits(embedding, softmax, bias, bucket, edges, sizes) -> np.ndarray:
 
 def fit_on_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS, length: int = SAMPLE_LENGTH) -> ToxicityModel:
     """A model of labelled rows outside the held-out fold."""
-    known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows_ = (
-        docs.select("doc_id", "text")
-        .where(F.col("text").isNotNull() & (F.length("text") <= length) & (doc_bucket("doc_id", folds) != held_out))
-        .join(known, "doc_id")
-    )
+    known = labels.where(F.col("toxic").isNotNull() & (doc_bucket("doc_id", folds) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # twice the rows wanted are picked by id and broadcast, so that no text is shuffled but the sample's
+    picked = F.broadcast(bounded_sample(known, "toxic", "doc_id", 2 * rows, most_labels=2))
+    rows_ = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= length)).join(picked, "doc_id")
     got = bounded_sample(rows_, "toxic", "doc_id", rows, most_labels=2).select("doc_id", "text", "toxic").toLocalIterator()
     found = sorted((r.doc_id, r.text.encode(), int(r.toxic)) for r in got)
     return fit([t for _, t, _ in found], np.array([y for _, _, y in found]))
