@@ -106,3 +106,14 @@ def inode_sharing(versions: DataFrame, blobs: DataFrame) -> DataFrame:
 
 def sharing_totals(blobs: DataFrame) -> DataFrame:
     return blobs.agg(F.count_if("shared").alias("shared"), F.count_if(~F.col("shared")).alias("private"))
+
+
+def pack(contents: DataFrame, id_col: str, data_col: str) -> DataFrame:
+    """(id, content_hash, size, stored, compressed_size): hashed as it is, then compressed."""
+    packed = contents.select(F.col(id_col).alias("id"), fn.content_hash(F.col(data_col)).alias("content_hash"), F.octet_length(data_col).cast("long").alias("size"), fn.compress(F.col(data_col).cast("binary")).alias("stored"))
+    return packed.withColumn("compressed_size", F.octet_length("stored").cast("long"))
+
+
+def still_unreferenced(candidates: DataFrame, versions: DataFrame, by: str = "blob_id") -> DataFrame:
+    """Of blobs listed earlier those that no version has come to name since."""
+    return candidates.join(versions.where(F.col(by).isNotNull()).select(by), by, "left_anti")

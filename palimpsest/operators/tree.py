@@ -106,3 +106,16 @@ def set_attributes(inodes: DataFrame, inode: object, **given) -> DataFrame:
 def touch_access(inodes: DataFrame, inode: object, now, due) -> DataFrame:
     """The access time moves only where it is due."""
     return inodes.withColumn("atime", F.when((F.col("id") == inode) & due, F.lit(now)).otherwise(F.col("atime")))
+
+
+def create_inode(inodes: DataFrame, parent: object, name: str, inode: object, is_dir: bool = False, **given) -> DataFrame:
+    """inodes with a new entry numbered after the last; a name that is taken in its folder is an error."""
+    from palimpsest.schema import conform
+
+    spark = inodes.sparkSession
+    taken = inodes.where(F.col("parent_id").eqNullSafe(F.lit(parent)) & (F.col("name") == name))
+    if not taken.isEmpty():
+        raise FileExistsError(name)
+    last = inodes.agg(F.coalesce(F.max("ino"), F.lit(0)).alias("_last"))
+    new = spark.range(1).crossJoin(F.broadcast(last)).select(F.lit(inode).alias("id"), (F.col("_last") + 1).alias("ino"), F.lit(parent).alias("parent_id"), F.lit(name).alias("name"), F.lit(is_dir).alias("is_dir"), *(F.lit(v).alias(k) for k, v in given.items()))
+    return inodes.unionByName(conform(new, "inode_registry").select(*inodes.columns))

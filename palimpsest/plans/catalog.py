@@ -34,11 +34,13 @@ def registered(name: str, *views: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from palimpsest.plans import catalog_more  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: _SQL[name] for name in queries() if name in _SQL}
 
 
 INODE_COLUMNS = ("id", "ino", "parent_id", "name", "is_dir", "size")

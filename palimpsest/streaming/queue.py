@@ -98,3 +98,55 @@ def embed_due(backlog: int, oldest_seconds: float | None, quiet_seconds: float,
 def missing_embeddings(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """Of (id, model_id) those that have no embedding yet: insert-if-absent."""
     return wanted.dropDuplicates(["id", "model_id"]).join(existing.select("id", "model_id"), ["id", "model_id"], "left_anti")
+
+
+def submit(inode_id: str, seq: int, name: str, data: bytes, store, parent: str | None = None, status_note: str | None = None) -> dict:
+    """Store the bytes of a write and return its marker; written to the queue it is the durable order to commit.
+
+    ``status_note`` is kept with a write that was forced past its syntax check.
+    """
+    import hashlib
+    import json
+
+    import zstandard
+
+    content = hashlib.sha256(data).hexdigest()
+    packed = zstandard.ZstdCompressor(level=3).compress(data)
+    if not store.exists(content):
+        store.put(content, packed)
+    version = hashlib.sha256(f"{inode_id}|{seq}|{content}".encode()).hexdigest()
+    return {
+        "seq": seq, "inode_id": inode_id, "parent_inode": parent, "name": name, "version_id": version, "content_hash": content, "blob_id": content, "size": len(data),
+        "compressed_size": len(packed), "shared": True, "special_type": "syntax_error" if status_note else "generic", "special_data": json.dumps({"error": status_note} if status_note else {}),
+    }
+
+
+def embed_versions(versions: DataFrame, ast_nodes: DataFrame, embeddings: DataFrame, embed, model_id: str, dim: int, block_model: str, block_dim: int) -> DataFrame:
+    """New embeddings of versions' texts and of their code blocks: those that are not there yet.
+
+    ``embed`` makes a vector column of a text and a dimension column.
+    """
+    now = F.current_timestamp() if "created_at" not in versions.columns else F.col("created_at")
+    texts = versions.where(F.col("search_text").isNotNull()).select("id", F.lit(model_id).alias("model_id"), F.lit(dim).alias("dim"), F.col("special_type").alias("plugin_type"), F.col("search_text").alias("_t"), now.alias("created_at"))
+    of = versions.select(F.col("id").alias("version_id"), F.col("special_type").alias("plugin_type"), now.alias("created_at"))
+    blocks = ast_nodes.drop("created_at").join(of, "version_id").select("id", F.lit(block_model).alias("model_id"), F.lit(block_dim).alias("dim"), "plugin_type", F.col("source").alias("_t"), "created_at")
+    new = missing_embeddings(texts.unionByName(blocks), embeddings)
+    made = new.withColumns({"embedding": embed(F.col("_t"), F.col("dim")), "consolidated": F.lit(False), "is_current": F.lit(True)})
+    return conform(made, "embeddings")
+
+
+def finish_embed(versions: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:
+    """versions with status clean for those embedded, failed and one more retry for those that weren't."""
+    ok, bad = done.select("id", F.lit(True).alias("_ok")), failed.select("id", F.lit(True).alias("_bad"))
+    joined = versions.join(ok, "id", "left").join(bad, "id", "left")
+    return joined.withColumns(
+        {"status": F.when(F.col("_bad"), "failed").when(F.col("_ok"), "clean").otherwise(F.col("status")), "retry_count": (F.col("retry_count") + F.coalesce("_bad", F.lit(False)).cast("int")).cast("int")}
+    ).select(*versions.columns)
+
+
+def set_search_text(versions: DataFrame, contents: DataFrame) -> DataFrame:
+    """versions with the text derived from their bytes (id, data), or from their JSON where those are no text."""
+    from palimpsest.functions.text import search_text
+
+    joined = versions.drop("search_text").join(contents.select("id", "data"), "id", "left")
+    return joined.withColumn("search_text", search_text(F.col("data"), F.col("special_data"))).drop("data").select(*versions.columns)
