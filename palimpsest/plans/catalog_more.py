@@ -496,3 +496,78 @@ def _(spark, d):
 @registered("dq16_registry", sql="SELECT source AS crate_name, 'f' || doc_id AS name, FALSE AS tombstoned FROM documents")
 def _(spark, d):
     return symbols.generate_registry(symbols.scan_symbols(_rust_files(spark, d)), _registry(spark, d)).select("crate_name", "name", "tombstoned")
+
+
+# parts of larger operators on their own
+
+
+@registered("ag08_document_frequency", sql="SELECT term, count(DISTINCT p_brand) AS df FROM (SELECT p_brand, unnest(list_filter(regexp_split_to_array(lower(p_name), '[_\\-./: ]'), lambda t: t <> '')) AS term FROM part) GROUP BY term")
+def _(spark, d):
+    words = table(spark, d, "part").select("p_brand", F.explode(fn.tokenize_identifier(F.col("p_name"))).alias("term"))
+    return words.groupBy("term").agg(F.countDistinct("p_brand").alias("df"))
+
+
+@registered("ag09_term_frequency", sql="SELECT p_brand, term, count(*) AS n, count(*) FILTER (WHERE pos = 0) AS first FROM (SELECT p_brand, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM (SELECT p_brand, list_filter(regexp_split_to_array(lower(p_name), '[_\\-./: ]'), lambda t: t <> '') AS w FROM part)) GROUP BY ALL")
+def _(spark, d):
+    words = table(spark, d, "part").select("p_brand", F.posexplode(fn.tokenize_identifier(F.col("p_name"))).alias("pos", "term"))
+    return words.groupBy("p_brand", "term").agg(F.count("*").alias("n"), F.count_if(F.col("pos") == 0).alias("first"))
+
+
+@registered("ag17_running_statistics", EMBEDDINGS, sql="SELECT plugin_type, max(n) AS n, round(sum(v), 2) AS m2 FROM (SELECT plugin_type, pos, count(*) AS n, var_pop(embedding[pos]) * count(*) AS v FROM emb, unnest(range(1, 65)) AS p(pos) GROUP BY plugin_type, pos) GROUP BY plugin_type")
+def _(spark, d):
+    import pandas as pd
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        rows = rows.sort_values("id")
+        done = cluster.Cluster.of((np.array(v, dtype=np.float32) for v in rows["embedding"]), 64)
+        return pd.DataFrame([(rows["plugin_type"].iloc[0], done.count, round(done.m2, 2))], columns=["plugin_type", "n", "m2"])
+
+    return m.embeddings(spark, d).select("id", "plugin_type", "embedding").groupBy("plugin_type").applyInPandas(fold, "plugin_type string, n long, m2 double")
+
+
+@registered("cl08_combine", EMBEDDINGS, sql="SELECT count(*) AS n, (SELECT round(sum(v), 4) FROM (SELECT pos, var_pop(embedding[pos]) * count(*) AS v FROM emb, unnest(range(1, 65)) AS p(pos) GROUP BY pos)) AS m2 FROM emb")
+def _(spark, d):
+    flat = m.embeddings(spark, d).select("plugin_type", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
+    per = flat.groupBy("plugin_type", "pos").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("*")).alias("v"))
+    parts = per.groupBy("plugin_type").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda p: p["mean"]).alias("mean"), F.sum("v").alias("m2"))
+    return aggregates.merge_statistics(parts.withColumn("whole", F.lit(1)), ["whole"]).select("n", F.round("m2", 4).alias("m2"))
+
+
+@registered("jo02_blocks_of_versions", sql="SELECT d.doc_id AS id, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE d.lang = 'en'")
+def _(spark, d):
+    nodes = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("version_id"))
+    v = table(spark, d, "labels").select(F.col("doc_id").alias("version_id"), "quality")
+    return nodes.join(v, "version_id").select("id", "quality")
+
+
+@registered("st07_rate_limit", VERSIONS, sql="SELECT count(*) AS n, count(DISTINCT content_hash) AS hashes FROM fv WHERE inode_id < 4")
+def _(spark, d):
+    rows = m.versions(spark, d).where("inode_id < 4").select(F.col("id").alias("seq"), F.col("inode_id").cast("string"), F.col("id").cast("string").alias("version_id"), "content_hash", "size")
+    base = _folder(spark, "limited")
+    documents.write_markers(schema.conform(rows, "pending_markers").repartition(3), f"{base}/in")
+    slow = queue.stream_markers(spark, f"{base}/in", files_per_trigger=1)  # held back, none refused
+    slow.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(slow.schema).parquet(f"{base}/out").agg(F.count("*").alias("n"), F.countDistinct("content_hash").alias("hashes"))
+
+
+@registered("st16_recover_dry_run", VERSIONS, sql="SELECT count(*) AS found, count(*) FILTER (WHERE id % 2 = 0) AS committed, count(*) FILTER (WHERE id % 2 = 1) AS already_committed, CAST(0 AS BIGINT) AS failed FROM fv")
+def _(spark, d):
+    v = m.versions(spark, d)
+    markers = v.select(F.col("id").alias("seq"), F.col("id").alias("version_id"), "inode_id", "content_hash", "size", F.lit(None).cast("string").alias("created_at"))
+    return queue.replay(v.select(F.col("inode_id").alias("id")).distinct(), v.where("id % 2 = 1"), markers)[1]
+
+
+@registered("sr16_find_by_hash", VERSIONS, sql="SELECT id FROM fv WHERE content_hash = sha256('c11') ORDER BY created_at DESC, id LIMIT 1")
+def _(spark, d):
+    import hashlib
+
+    return scans.newest_by_hash(m.versions(spark, d), hashlib.sha256(b"c11").hexdigest()).select("id")
+
+
+@registered("ud04_tools", sql="SELECT 15 AS tools")
+def _(spark, d):
+    from palimpsest.tools import standard_tools
+
+    return spark.createDataFrame([(len(standard_tools(spark, {}).listed()),)], "tools int")

@@ -285,3 +285,72 @@ def test_schema_check(spark):
     full = {t: spark.createDataFrame([], schema.schema_of(t)) for t in schema.CORE_TABLES}
     assert schema.check_schema(full) == []
     assert schema.check_schema(full | {"blobs": full["blobs"].withColumn("refcount", F.lit(1))}) == ["forbidden column blobs.refcount"]
+
+
+def test_network_store(spark):
+    """Against a small server that keeps blobs in memory and speaks the store's interface."""
+    import hashlib
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from palimpsest.sources.ipfs import IpfsStore
+
+    kept = {}
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self, code, body=b""):
+            self.send_response(code)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            if self.command != "HEAD":
+                self.wfile.write(body)
+
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"] or 0))
+            if "/add?" in self.path and "pin" not in self.path:
+                data = body.split(b"\r\n\r\n", 1)[1].rsplit(b"\r\n--", 1)[0]
+                cid = "b" + hashlib.sha256(data).hexdigest()
+                kept[cid] = data
+                return self.answer(200, json.dumps({"Hash": cid}).encode())
+            if "pin/rm" in self.path:
+                kept.pop(self.path.rpartition("=")[2], None)
+            return self.answer(200, b"{}")
+
+        def do_GET(self):
+            cid = self.path.rpartition("/")[2]
+            return self.answer(200, kept[cid]) if cid in kept else self.answer(404)
+
+        do_HEAD = do_GET
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    store = IpfsStore(url, url)
+    cid = store.put(b"some bytes")
+    assert store.exists(cid) and store.get(cid) == b"some bytes"
+    assert [bytes(r.data) for r in store.frame(spark.createDataFrame([(cid,)], "cid string")).collect()] == [b"some bytes"]
+    store.delete(cid)
+    assert not store.exists(cid)
+    server.shutdown()
+
+
+def test_lifecycle(spark):
+    t = inodes(spark, [("root", 1, None, "", True), ("f", 2, "root", "f", False)])
+    made = tree.create_inode(t, "root", "g", "g", uid=5)
+    assert tuple(made.where("id = 'g'").select("ino", "uid", "is_dir").first()) == (3, 5, False)
+    with pytest.raises(FileExistsError):
+        tree.create_inode(t, "root", "f", "x")
+    note = queue.submit("f", 1, "f.rs", b"fn a( {", _MemoryStore(), status_note="Unclosed")
+    assert note["special_type"] == "syntax_error" and json.loads(note["special_data"]) == {"error": "Unclosed"}
+    assert queue.embed_due(1, None, 0.6) and queue.embed_due(1001, 0, 0) and queue.embed_due(1, 61, 0) and not queue.embed_due(1, 1, 0.1) and not queue.embed_due(0, None, 9)
+
+
+class _MemoryStore(dict):
+    def exists(self, name):
+        return name in self
+
+    def put(self, name, data):
+        self[name] = data
