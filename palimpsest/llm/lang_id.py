@@ -150,10 +150,10 @@ def fit_on_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score (the posterior of the language) and bits_per_byte; columns by these names are replaced."""
     names = ["lang_pred", "score", "bits_per_byte"]
-    kept = docs.drop(*names, "_letters")
+    kept = docs.drop(*names, "__letters")
     if model is None:
         return kept.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
-    ready = kept.withColumn("_letters", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    ready = kept.withColumn("__letters", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     at, letters_at, out_names = kept.columns.index(text_col), len(kept.columns), [*kept.columns, *names]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
