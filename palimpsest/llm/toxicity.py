@@ -7,7 +7,7 @@ n-gram rows with known ones. A text's score is that of its highest passage, so
 a long text isn't thinned out; training follows suit: after a first pass over
 all passages, a toxic text teaches by its highest passages alone.
 
-Labels are read from a bounded sample of rows outside the held-out fold. Null
+A word that repeats the one before counts once. Labels are read from a bounded sample of rows outside the held-out fold. Null
 and empty texts, and those without words, score as a passage without n-grams.
 """
 
@@ -28,6 +28,8 @@ SIZES = (3, 4, 5)
 BUCKET_BITS = 18
 DIMENSIONS = 8
 PASSAGE = 8
+#: Subwords a passage's mean is taken over at least, so that a lone word weighs as it does in a passage.
+LEAST_SUBWORDS = 60
 #: Bounds of the training sample: rows of each label, and code points of a row.
 SAMPLE_ROWS = 3000
 SAMPLE_LENGTH = 6_000
@@ -59,6 +61,19 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator
         yield (h[whole] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS), word[: len(h)][whole]
 
 
+def changing_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as ``kernels.word_spans`` has them, without those that repeat the word just before."""
+    starts, ends, first = kernels.word_spans(data, offsets)
+    if len(starts) < 2:
+        return starts, ends, first
+    same = np.zeros(len(starts), dtype=bool)
+    hashes = kernels.span_hashes(data, starts, ends)
+    same[1:] = hashes[1:] == hashes[:-1]
+    same[first[:-1][np.diff(first) > 0]] = False
+    kept = np.concatenate([[0], np.cumsum(~same)])
+    return starts[~same], ends[~same], kept[first]
+
+
 @dataclass
 class ToxicityModel:
     weights: np.ndarray  # of each bucket: its embedding times the difference of the softmax's rows
@@ -66,7 +81,7 @@ class ToxicityModel:
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The score of each text."""
-        starts, ends, first = kernels.word_spans(data, offsets)
+        starts, ends, first = changing_words(data, offsets)
         out = np.full(len(offsets) - 1, self.bias)
         if len(starts):
             total, count = np.zeros(len(starts)), np.zeros(len(starts))
@@ -74,7 +89,7 @@ class ToxicityModel:
                 total += np.bincount(word, weights=self.weights[bucket], minlength=len(starts))
                 count += np.bincount(word, minlength=len(starts))
             heads, owner = passages(first)
-            logits = self.bias + np.add.reduceat(total, heads) / np.maximum(np.add.reduceat(count, heads), 1)
+            logits = self.bias + np.add.reduceat(total, heads) / np.maximum(np.add.reduceat(count, heads), LEAST_SUBWORDS)
             full = np.flatnonzero(np.diff(first) > 0)
             out[full] = np.maximum.reduceat(logits, np.searchsorted(owner, full))
         return 1 / (1 + np.exp(-out))
@@ -94,7 +109,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int | None = None, batch
     rng = np.random.default_rng(seed)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    starts, ends, first = kernels.word_spans(data, offsets)
+    starts, ends, first = changing_words(data, offsets)
     positive = float(np.mean(labels)) if len(labels) else 0.0
     if not len(starts) or positive in (0.0, 1.0):
         return ToxicityModel(np.zeros(1 << BUCKET_BITS, dtype=np.float32), 4.0 * (positive - 0.5))
@@ -110,7 +125,10 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int | None = None, batch
     del buckets, words
     edges = np.concatenate([np.searchsorted(word, heads), [len(word)]])
     sizes = np.diff(edges)
+    parts = np.maximum(sizes, LEAST_SUBWORDS)
     y = labels[owner].astype(np.float64)
+    # few toxic texts weigh more, so that their words are learnt in the same number of rounds
+    weight = np.where(y == 1, np.clip(500 / max(1.0, labels.sum()), 1.0, 6.0), 1.0)
     embedding = rng.normal(0, 0.02, (1 << BUCKET_BITS, DIMENSIONS))
     softmax = rng.normal(0, 0.5, (2, DIMENSIONS))
     bias = np.zeros(2)
@@ -118,12 +136,12 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int | None = None, batch
     epochs = epochs or int(np.clip(500_000 // max(1, len(live)), 6, 40))
     for epoch in range(epochs):
         if epoch:  # of a toxic text, the highest passage and those as good as sure
-            logit = _logits(embedding, softmax, bias, bucket, edges, sizes)
+            logit = _logits(embedding, softmax, bias, bucket, edges, sizes, parts)
             top = np.zeros(len(heads), dtype=bool)
             lift = np.lexsort((-logit, owner))
             top[lift[np.concatenate([[True], owner[lift][1:] != owner[lift][:-1]])]] = True
             live = np.flatnonzero((sizes > 0) & ((y == 0) | top | (logit > 4)))
-        step = rate * (1 - 0.8 * epoch / epochs)
+        step = rate * (1 - epoch / epochs)
         rng.shuffle(live)
         for at in range(0, len(live), batch):
             rows = np.sort(live[at : at + batch])
@@ -133,9 +151,9 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int | None = None, batch
             direction = softmax[1] - softmax[0]
             used, inverse = np.unique(ids, return_inverse=True)
             z = (embedding[used] @ direction)[inverse]
-            p = 1 / (1 + np.exp(-(np.add.reduceat(z, cut) / size + bias[1] - bias[0])))
-            delta = p - y[rows]
-            pull = np.bincount(inverse, weights=np.repeat(delta / size, size), minlength=len(used))
+            p = 1 / (1 + np.exp(-(np.add.reduceat(z, cut) / parts[rows] + bias[1] - bias[0])))
+            delta = (p - y[rows]) * weight[rows]
+            pull = np.bincount(inverse, weights=np.repeat(delta / parts[rows], size), minlength=len(used))
             grad_w = pull @ embedding[used]
             embedding[used] -= step * pull[:, None] * direction
             softmax -= 0.01 * np.clip(np.stack([-grad_w, grad_w]), -1, 1)
@@ -144,11 +162,11 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int | None = None, batch
     return ToxicityModel((embedding @ (softmax[1] - softmax[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def _logits(embedding, softmax, bias, bucket, edges, sizes) -> np.ndarray:
+def _logits(embedding, softmax, bias, bucket, edges, sizes, parts) -> np.ndarray:
     lift = (embedding @ (softmax[1] - softmax[0])).astype(np.float32)
     full = np.flatnonzero(sizes > 0)
     out = np.full(len(sizes), bias[1] - bias[0])
-    out[full] += np.add.reduceat(lift[bucket], edges[full], dtype=np.float64) / sizes[full]
+    out[full] += np.add.reduceat(lift[bucket], edges[full], dtype=np.float64) / parts[full]
     return out
 
 
