@@ -231,4 +231,4 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     )
     last = Window.partitionBy("query_id").orderBy("score", "id")
     ranked = expanded.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return scratch.last(ranked.select("query_id", "rank", F.col("id").alias(id_col), "score"))

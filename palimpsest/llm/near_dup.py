@@ -173,6 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = reps.select("mark", "id").join(groups, "id", "left").select("mark", F.coalesce("component", "id").alias("component"))
     linked = worded.select("id", "n", "mark").join(classes, "mark").select("id", "n", "component")
     alone = sketched.where("mark is null").select("id", "n", F.col("id").alias("component"))
-    return linked.union(alone).select(
+    result = linked.union(alone).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("id")).alias("kept")
     )
+    return scratch.last(result)

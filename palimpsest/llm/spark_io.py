@@ -34,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive the loss of an executor.
 
-    ``drop`` removes a table that nothing lazy refers to any more.
+    ``drop`` removes a table that nothing lazy refers to any more; ``last`` keeps
+    a result alone.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -53,9 +54,17 @@ class Scratch:
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            self._delete(path)
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """Write a result to a table of its own and remove all the others."""
+        result = Scratch(self.spark, "result").write(df)
+        self._delete(self.root)
+        return result
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def doc_bucket(column: str, modulus: int):
