@@ -29,7 +29,7 @@ from palimpsest.llm import kernels
 from palimpsest.llm.spark_io import with_fields
 
 #: Pieces of one generation of the cache; two are kept.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 400_000
 #: Pieces encoded in one call, and marks tried to keep them apart: the first that is a single id is used.
 GROUP = 64
 MARKS = "©®™°±§¶†"
@@ -98,13 +98,10 @@ class PieceEncoder:
         raw = apart.tobytes().lower()  # A-Z only; the normaliser does the same
         split = [raw[a:b].split() for a, b in zip(edges, edges[1:])]
         cache, older = self.cache, self.older
-        new = []
-        for piece in {p for pieces in split for p in pieces if p not in cache}:
-            known = older.get(piece)
-            if known is None:
-                new.append(piece)
-            else:
-                cache[piece] = known
+        missing = set().union(*split).difference(cache)
+        known = {piece: older[piece] for piece in missing if piece in older}
+        cache.update(known)
+        new = missing.difference(known)
         if new:
             self.learn(sorted(new))
         get = cache.__getitem__
