@@ -81,21 +81,27 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_WORD_KEY = _BYTE_KEY.copy()
+_WORD_KEY[_SPACE] = 0
+_FOLDED_KEY = _WORD_KEY[_LOWER]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; spans are ascending and apart."""
+    """A 64-bit hash of each word; words are ascending, with nothing but white space between."""
     if not len(starts):
         return np.zeros(0, dtype=U64)
     lengths = ends - starts
-    total = np.cumsum(lengths)
+    keys = _FOLDED_KEY if fold else _WORD_KEY
+    nexts = np.append(starts[1:], ends[-1])  # white space after a word has the key 0
     out = np.empty(len(starts), dtype=U64)
-    for lo, hi in chunks(np.concatenate([[0], total])):
-        size = lengths[lo:hi]
-        base = total[lo:hi] - size - (total[lo] - size[0])
-        at = np.arange(base[-1] + size[-1]) - np.repeat(base, size)
-        run = data[np.repeat(starts[lo:hi], size) + at]
-        values = _BYTE_KEY[_LOWER[run] if fold else run]
-        values *= powers(int(size.max()))[at]
-        out[lo:hi] = np.add.reduceat(values, base)
+    for lo, hi in chunks(np.append(starts, ends[-1])):
+        first = starts[lo]
+        at = np.arange(nexts[hi - 1] - first) - np.repeat(starts[lo:hi] - first, nexts[lo:hi] - starts[lo:hi])
+        longest = int(lengths[lo:hi].max())
+        np.minimum(at, longest, out=at)
+        values = keys[data[first : nexts[hi - 1]]]
+        values *= powers(longest + 1)[at]
+        out[lo:hi] = np.add.reduceat(values, starts[lo:hi] - first)
     return mix64(out + lengths.astype(U64) * U64(0xA24BAED4963EE407))
 
 
