@@ -29,7 +29,7 @@ from palimpsest.llm import kernels
 from palimpsest.llm.spark_io import with_fields
 
 #: Pieces of one generation of the cache; two are kept.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 550_000
 #: Pieces encoded in one call, and marks tried to keep them apart: the first that is a single id is used.
 GROUP = 64
 MARKS = "©®™°±§¶†"
@@ -38,18 +38,24 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+# Second bytes of the letters U+00C0 to U+00FF; the two signs among them are none.
+_ACCENTED = np.zeros(256, dtype=bool)
+_ACCENTED[0x80:0xC0] = True
+_ACCENTED[[0x97, 0xB7]] = False
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".,!?;:")] = True
 
 
 def spread(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes with a blank before each stop that ends a word of ASCII letters and digits, and where they were put in.
+    """Bytes with a blank before each stop that ends a word of Latin letters and digits, and where they were put in.
 
     The splitter parts such a stop from its word anyway; apart, both are met more often.
     """
     if len(data) < 3:
         return data, np.zeros(0, dtype=np.int64)
-    at = np.flatnonzero(_STOP[data[1:-1]] & _SPACE[data[2:]] & _WORD[data[:-2]]) + 1
+    letter = _WORD[data[:-2]]
+    letter[1:] |= (data[:-3] == 0xC3) & _ACCENTED[data[1:-2]]
+    at = np.flatnonzero(_STOP[data[1:-1]] & _SPACE[data[2:]] & letter) + 1
     return np.insert(data, at, 0x20), at
 
 
