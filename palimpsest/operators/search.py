@@ -98,9 +98,9 @@ def flat_search(embeddings: DataFrame, versions: DataFrame, inodes: DataFrame, b
     """(id, name, backend, similarity) of clean versions, by similarity."""
     clean = versions.where(F.col("status") == "clean").select(F.col("id"), "inode_id")
     named = inodes.select(F.col("id").alias("inode_id"), "name", "backend_id")
-    hits = nearest(embeddings.join(clean, "id"), vector, k)
+    hits = nearest(embeddings.join(clean, "id").join(named, "inode_id"), vector, k)
     return (
-        hits.join(named, "inode_id").join(backends.select(F.col("id").alias("backend_id"), F.col("name").alias("backend")), "backend_id", "left")
+        hits.join(backends.select(F.col("id").alias("backend_id"), F.col("name").alias("backend")), "backend_id", "left")
         .select("id", "name", "backend", (1 - F.col("distance")).alias("similarity")).orderBy(F.desc("similarity"), "id")
     )
 
