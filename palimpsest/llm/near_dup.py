@@ -128,18 +128,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = scratch.write(worded.groupBy("mark").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")))
 
     def runs(rows: DataFrame, length: int) -> DataFrame:
-        """rows with all runs of that many neighbours of their sketches, as v0, v1 and so on."""
-        parts = [f"slice(sketch, {i + 1}, greatest(size(sketch) - {length - 1}, 0)) as v{i}" for i in range(length)]
-        others = [c for c in rows.columns if c != "sketch"]
-        zipped = rows.selectExpr(*others, *parts).select(*others, F.explode(F.arrays_zip(*(f"v{i}" for i in range(length)))).alias("v"))
-        return zipped.select(*others, *(f"v.v{i}" for i in range(length)))
+        """rows with ``runs``, all runs of that many neighbours of their sketches as structs of v0, v1 and so on."""
+        parts = {f"v{i}": F.expr(f"slice(sketch, {i + 1}, greatest(size(sketch) - {length - 1}, 0))") for i in range(length)}
+        return rows.withColumns(parts).withColumn("runs", F.arrays_zip(*parts)).drop("sketch", *parts)
 
-    postings = runs(reps.select("id", "sketch"), 2).select(F.xxhash64("v0", "v1").alias("key"), "id")
+    pairs_of = runs(reps.select("id", "sketch"), 2).select("id", F.explode("runs").alias("v"))
+    postings = pairs_of.select(F.xxhash64("v.v0", "v.v1").alias("key"), "id")
 
     def finer(rows: DataFrame) -> DataFrame:
-        """A list of two neighbours is split by the next."""
-        longer = runs(rows.join(reps.select("id", "sketch"), "id"), 3).where(F.xxhash64("v0", "v1") == F.col("parent"))
-        return longer.withColumn("key", F.xxhash64("v0", "v1", "v2"))
+        """A list of two neighbours is split by the next; other runs of a sketch are left out before they are rows."""
+        longer = runs(rows.join(reps.select("id", "sketch"), "id"), 3)
+        own = F.filter("runs", lambda r: F.xxhash64(r["v0"], r["v1"]) == F.col("parent"))
+        return longer.withColumn("v", F.explode(own)).withColumn("key", F.xxhash64("v.v0", "v.v1", "v.v2"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(id, payload) of a table of ids: their full sets, made again from the texts."""
