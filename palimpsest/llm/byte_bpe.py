@@ -38,7 +38,7 @@ START, IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_BLANK, AFTER_SPACE, QUOTED, SUFFI
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 BLOCK = 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def _step(state: int, symbol: int) -> int:
