@@ -392,6 +392,26 @@ def test_line_dedup_equals_brute_force(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == brute_lines(texts)
 
 
+def test_lines_alike_by_edits_are_joined(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice(["ta", "ri", "mo", "ne", "lu", "ka", "so", "pi"]) for _ in range(rng.randrange(1, 4)))
+    pairs = []
+    for i in range(600):
+        one = [word() for _ in range(rng.randrange(6, 50))]
+        other = list(one)
+        for _ in range(1 if i < 400 else max(1, len(one) // 10)):
+            other[rng.randrange(len(other))] = word()
+        if line_dedup.alike(" ".join(one), " ".join(other)) and one != other:
+            pairs.append((" ".join(one), " ".join(other)))
+    head = " ".join(word() for _ in range(4))  # a long list: many lines of one beginning, some of them alike
+    hot = [f"{head} {word()} {word()} {word()} {word()}" for _ in range(80)]
+    pairs += [(h, " ".join([*h.split()[:-1], h.split()[-1] + "x"])) for h in hot]
+    df = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "doc_id long, text string")
+    left = {r.doc_id for r in line_dedup.dedup_lines(df).collect()}
+    joined = [2 * i + 1 not in left for i in range(len(pairs))]
+    assert len(pairs) > 550 and np.mean(joined) >= 0.98 and all(joined[-len(hot) :])
+
+
 def test_line_dedup_odd_rows(spark):
     rows = {r.doc_id: r for r in line_dedup.dedup_lines(odd_documents(spark)).collect()}
     assert len(rows) == len(ODD) and rows[0].text is None and rows[6].text == ODD[6]
