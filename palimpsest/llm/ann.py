@@ -6,6 +6,11 @@ A query searches all trees through one priority queue ordered by the margin to
 the splits passed, takes leaves until enough vectors are expected in them, and
 ranks the vectors found by their exact Euclidean distance in double precision.
 
+How many are enough is found on the table itself: the true neighbours of some
+probes, by a pass over all vectors, tell which share of the vectors must be
+visited to find RECALL of them. So the share doesn't fall as the table grows,
+unless its neighbours get easier to find.
+
 Equal vectors are one entry of the index, of which at most as many members as
 neighbours are wanted (and one for the query itself) can matter, the ones of
 least id; so copies of a vector fill no leaf. Vectors that are null, zero, of
@@ -28,8 +33,10 @@ from palimpsest.llm.spark_io import Scratch
 
 TREES = 8
 LEAF = 48
-#: Vectors expected in the leaves a query visits, over all trees.
+#: Vectors expected in the leaves a query visits, over all trees, at least.
 SEARCH = 40_000
+#: Share of the probes' true neighbours that a search must find, and the number of probes.
+RECALL, PROBES = 0.95, 64
 #: Bound of the sample the trees are fitted on.
 SAMPLE = 20_000
 
@@ -57,6 +64,14 @@ class Forest:
             out[:, t] = -at - 1
         return out
 
+    def needed(self, margins: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """The ``wanted`` above which a visit finds each vector, given its leaves in all trees."""
+        before, got = np.full(len(self.share), np.inf), 0.0
+        for leaf in self.visit(margins, np.inf):
+            before[leaf] = got
+            got += self.share[leaf]
+        return before[leaves].min(axis=1)
+
     def visit(self, margins: np.ndarray, wanted: float) -> list[int]:
         """Leaves in order of the shared queue until a share ``wanted`` of all vectors is expected; at least one a tree."""
         heap = [(0.0, int(r)) for r in self.roots]
@@ -135,6 +150,50 @@ def usable_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return good.where(F.size("vector") == (usual.n if usual else 0))
 
 
+def _share_for(reps: DataFrame, forest: Forest, shared, slot, count: int, k: int) -> float:
+    """The share of all vectors to visit that finds RECALL of the true neighbours of the probes."""
+    # the other end of the order the sample is taken from
+    thin = reps.where(slot >= F.lit((1 << 20) * (1 - 4.0 * PROBES / count))) if count > 4 * PROBES else reps
+    probes = np.array([r.vector for r in thin.orderBy(slot.desc(), "rep").limit(PROBES).collect()], dtype=np.float64)
+    asked = reps.sparkSession.sparkContext.broadcast(probes)
+
+    def closest(batches) -> Iterator[pa.RecordBatch]:
+        """The nearest of each probe in a part of the table, and their leaves."""
+        own, held = shared.value, None
+        for batch in batches:
+            vectors = _matrix(batch.column(1))
+            for lo in range(0, len(vectors), 4096):
+                part = vectors[lo : lo + 4096]
+                score = np.stack([((part - p) ** 2).sum(1) for p in asked.value])
+                top = np.argsort(score, 1, kind="stable")[:, : k + 1]
+                score, near = np.take_along_axis(score, top, 1), part[top]
+                if held is not None:
+                    score, near = np.concatenate([held[0], score], 1), np.concatenate([held[1], near], 1)
+                    top = np.argsort(score, 1, kind="stable")[:, : k + 1]
+                    score, near = np.take_along_axis(score, top, 1), np.take_along_axis(near, top[..., None], 1)
+                held = score, near
+        if held is not None:
+            scores, near = held
+            leaves = own.leaves(near.reshape(-1, near.shape[2]))
+            names = ["probe", "score", "leaves"]
+            columns = [pa.array(np.repeat(np.arange(len(scores)), scores.shape[1]), pa.int64()), pa.array(scores.reshape(-1)), pa.array(leaves.tolist(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    found = reps.select("rep", "vector").mapInArrow(closest, "probe long, score double, leaves array<long>")
+    order = Window.partitionBy("probe").orderBy("score")
+    # the first is the probe itself
+    best = found.withColumn("n", F.row_number().over(order)).where((F.col("n") > 1) & (F.col("n") <= k + 1)).select("probe", "leaves").collect()
+    by_probe: dict[int, list] = {}
+    for r in best:
+        by_probe.setdefault(r.probe, []).append(r.leaves)
+    margins = probes @ forest.planes.T - forest.offsets if len(forest.planes) else np.zeros((len(probes), 0))
+    needs = [forest.needed(margins[p], np.array(leaves)) for p, leaves in by_probe.items()]
+    if not needs:
+        return 0.0
+    needs = np.sort(np.concatenate(needs))
+    return float(np.nextafter(needs[min(len(needs), int(np.ceil(RECALL * len(needs)))) - 1], np.inf))
+
+
 def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, trees: int = TREES, leaf: int = LEAF, search: int = SEARCH, sample_rows: int = SAMPLE) -> DataFrame:
     """(query_id, rank, id_col, score) for queries whose id is divisible by ``every``, against all other rows."""
     spark = df.sparkSession
@@ -155,7 +214,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     sample = np.array([r.vector for r in picked.select("vector").toLocalIterator()], dtype=np.float64)
     forest = grow(sample, count, trees, leaf)
     shared = spark.sparkContext.broadcast(forest)
-    wanted = search / count
+    wanted = max(search / count, _share_for(reps, forest, shared, slot, count, k) if search < trees * count else 0.0)
     kind = reps.schema["vector"].dataType.simpleString()
     placed = f"leaf long, asks boolean, id long, vector {kind}"
 

@@ -535,3 +535,13 @@ def test_queries_and_pipeline(spark):
     assert {r.doc_id for r in out} == set(texts)
     assert all(r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest() for r in out)
     assert all(component == i for i, (_, component) in brute_components(texts, 5).items())
+
+
+def test_neighbours_of_a_large_table(spark):
+    vectors = np.random.default_rng(8).normal(size=(4000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(df, search=80).collect():  # as little against the table as the default is at two million rows
+        got[r.query_id].add(r.vec_id)
+    hits = [len(got[q] & set(np.argsort(((vectors - vectors[q]) ** 2).sum(1), kind="stable")[1:11].tolist())) for q in range(0, 4000, 100)]
+    assert np.mean(hits) >= 9
