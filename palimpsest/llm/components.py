@@ -65,6 +65,7 @@ def linked_groups(
     verify: Callable[[DataFrame], DataFrame],
     payload: Callable[[DataFrame], DataFrame],
     links_within: Callable[[list[bytes], list[bytes], np.ndarray, np.ndarray], Iterator[tuple[int, int]]],
+    further: DataFrame | None = None,
 ) -> DataFrame:
     """(id, component) of every id linked to another that shares a key.
 
@@ -73,13 +74,15 @@ def linked_groups(
     returns those linked. payload returns (id, payload binary) for ids;
     links_within takes payloads and groups of seekers and sought, and yields
     positions of links between different groups, enough to join what is joined.
+    further: (a, b), a < b, pairs to verify whatever lists they share.
     """
     sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     listed = scratch.write(postings.join(sizes, "key"))
     # central: much of it is shared by many
     weights = listed.groupBy("id").agg(F.sum("n").alias("weight"))
     listed = scratch.write(listed.join(weights, "id"))
-    links = scratch.write(verify(_star(listed).distinct()))
+    first = _star(listed) if further is None else _star(listed).union(further)
+    links = scratch.write(verify(first.distinct()))
     groups = scratch.write(connected_components(scratch, links))
 
     rest = scratch.write(_unsettled(listed, groups, "key"))

@@ -5,7 +5,11 @@ values of the set. Inverted lists generate overlaps: a list is kept for every
 two retained values that follow each other in a sketch, so a list of a common
 value is split by its neighbour. Two sets over the threshold have such a pair
 in common: if sketches hold the sets whole, always, for at a similarity of 0.8
-or more the differing values are too few to part all common ones; if not, with
+or more the differing values are too few to part all common ones. Long lists are
+split by a third value; of sets held whole only four values against the same
+and one more can share two values in a row and no three, so such pairs are
+found by themselves: a set of five meets the sets of four it contains. If
+sketches don't hold the sets whole, two share a pair with
 a chance of all but 2e-12 at a similarity of exactly 0.8 (no two of 40 draws of
 chance 0.8 in a row). The sketch of the union then filters (at least 16 of its
 40 values are shared but for a chance of 2e-7), and the exact Jaccard
@@ -169,7 +173,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
         return full.select("a", "b", "ma", "mb").mapInArrow(_jaccard_batches(percent), "a long, b long")
 
-    groups = linked_groups(scratch, postings, finer, verify, sets_of, _links_within(percent, k, least_shared))
+    four = reps.where("n = 4").select(F.col("sketch").alias("values"), F.col("id").alias("s"))
+    fives = reps.where("n = 5").select(F.explode(F.array(*(F.array(*(F.col("sketch")[i] for i in range(5) if i != gone)) for gone in range(5)))).alias("values"), F.col("id").alias("t"))
+    contained = fives.join(four, "values").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
+    groups = linked_groups(scratch, postings, finer, verify, sets_of, _links_within(percent, k, least_shared), contained)
     classes = reps.select("mark", "id").join(groups, "id", "left").select("mark", F.coalesce("component", "id").alias("component"))
     linked = worded.select("id", "n", "mark").join(classes, "mark").select("id", "n", "component")
     alone = sketched.where("mark is null").select("id", "n", F.col("id").alias("component"))

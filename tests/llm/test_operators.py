@@ -87,6 +87,17 @@ def test_near_duplicates_equal_brute_force(spark, size):
     assert got == brute_components(texts, size)
 
 
+def test_near_duplicates_in_long_lists_of_small_sets(spark):
+    texts = {}
+    for b in range(4):
+        base = [f"b{b}{c}" for c in "pqrst"]
+        texts |= {100 * b + i: " ".join([*base, f"x{b}y{i}"]) for i in range(60)}  # sets of five values with those of the base
+        texts[10_000 + b] = " ".join(base)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, shingle=2).collect()}
+    assert got == brute_components(texts, 2)
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = {r.doc_id: r for r in near_dup.near_duplicates(odd_documents(spark), shingle=2).collect()}
     assert [rows[i].n_shingles for i in (0, 1, 2, 3, 4)] == [0, 0, 0, 1, 1]
