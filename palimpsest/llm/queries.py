@@ -48,7 +48,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that keeps a line, without the lines that repeat others."""
     docs = read_table(ship(spark), sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select("doc_id", "text", "n_dropped")
+    return line_dedup.dedup_lines(docs, least=1).select("doc_id", "text", "n_dropped")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

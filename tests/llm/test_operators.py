@@ -423,6 +423,15 @@ def test_lines_alike_by_edits_are_joined(spark):
     assert len(pairs) > 550 and np.mean(joined) >= 0.98 and all(joined[-len(hot) :])
 
 
+def test_op5_takes_out_repeated_short_lines(spark, tmp_path):
+    from palimpsest.llm import queries
+
+    texts = ["First one here.\nAll rights reserved.\nLes.", "All Rights Reserved\nsecond one\nles", "今日は良い天気です。散歩に行きましょう。\nthird", "fourth\n今日は良い天気です。散歩に行きましょう。\n---\n---"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: texts[0], 1: "second one", 2: texts[2], 3: "fourth\n---\n---"}
+
+
 def test_line_dedup_odd_rows(spark):
     rows = {r.doc_id: r for r in line_dedup.dedup_lines(odd_documents(spark)).collect()}
     assert len(rows) == len(ODD) and rows[0].text is None and rows[6].text == ODD[6]
