@@ -651,3 +651,4 @@ _rule("dq10_orphans", lambda s, d: quality.orphan_blobs(m.versions(s, d), m.blob
 _rule("dq11_schema", lambda s, d: quality.schema_rules(s, {"blobs": m.blobs(s, d).withColumn("refcount", F.lit(1)), "file_versions": m.versions(s, d)}), sql="SELECT 'I4.missing_core_table' AS rule, 2 AS violations, 'inode_registry,storage_backends' AS detail UNION ALL SELECT 'I4.blobs_refcount_reintroduced', 1, 'blobs.refcount exists'")
 _rule("dq12_is_current", lambda s, d: quality.multiple_is_current(m.embeddings(s, d).withColumn("id", F.col("id") - (F.col("id") % 90 == 1).cast("int"))), sql=_ROW.format(rule="FIX02.multiple_is_current", detail="id", bad="SELECT vec_id - 1 AS id FROM embeddings WHERE vec_id % 90 = 1"))
 _rule("dq13_stuck", lambda s, d: quality.stuck_processing(m.versions(s, d).where("inode_id < 20"), NOW), VERSIONS, sql=_ROW.format(rule="PIPE.stuck_processing", detail="id", bad="SELECT id FROM fv WHERE inode_id < 20 AND status = 'processing' AND created_at < TIMESTAMP '2024-01-20' - INTERVAL 10 MINUTE"))
+_rule("dq13_all_stuck", lambda s, d: quality.stuck_processing(m.versions(s, d), NOW), VERSIONS, sql=_ROW.format(rule="PIPE.stuck_processing", detail="id", bad="SELECT id FROM fv WHERE status = 'processing' AND created_at < TIMESTAMP '2024-01-20' - INTERVAL 10 MINUTE"))

@@ -392,6 +392,19 @@ def _(spark, d):
     return log.versions().select("id", "inode_id", "version_number")
 
 
+@registered("st01_all_stream", VERSIONS, sql="SELECT CAST(id AS VARCHAR) AS id, CAST(inode_id AS VARCHAR) AS inode_id, CAST(row_number() OVER (PARTITION BY inode_id ORDER BY id) AS INTEGER) AS version_number FROM fv")
+def _(spark, d):
+    """st01_st06_stream over the versions of every file."""
+    rows = m.versions(spark, d).select(F.col("id").alias("seq"), F.col("inode_id").cast("string"), F.col("id").cast("string").alias("version_id"), "content_hash", "size")
+    base = _folder(spark, "queue")
+    documents.write_markers(schema.conform(rows, "pending_markers"), f"{base}/in")
+    log = queue.CommitLog(spark, f"{base}/log", rows.select(F.col("inode_id").alias("id")).distinct())
+    queue.drain(log, queue.stream_markers(spark, f"{base}/in"), f"{base}/cp").awaitTermination()
+    documents.write_markers(schema.conform(rows.where("seq % 2 = 0"), "pending_markers"), f"{base}/in")  # queued again: nothing is committed twice
+    queue.drain(log, queue.stream_markers(spark, f"{base}/in"), f"{base}/cp").awaitTermination()
+    return log.versions().select("id", "inode_id", "version_number")
+
+
 @registered("st04_idempotent", VERSIONS, sql="SELECT count(*) AS added FROM fv WHERE FALSE")
 def _(spark, d):
     v = m.versions(spark, d)
@@ -552,6 +565,17 @@ def _(spark, d):
     return spark.read.schema(slow.schema).parquet(f"{base}/out").agg(F.count("*").alias("n"), F.countDistinct("content_hash").alias("hashes"))
 
 
+@registered("st07_all_rate_limit", VERSIONS, sql="SELECT count(*) AS n, count(DISTINCT content_hash) AS hashes FROM fv")
+def _(spark, d):
+    """st07_rate_limit over the versions of every file."""
+    rows = m.versions(spark, d).select(F.col("id").alias("seq"), F.col("inode_id").cast("string"), F.col("id").cast("string").alias("version_id"), "content_hash", "size")
+    base = _folder(spark, "limited")
+    documents.write_markers(schema.conform(rows, "pending_markers").repartition(3), f"{base}/in")
+    slow = queue.stream_markers(spark, f"{base}/in", files_per_trigger=1)  # held back, none refused
+    slow.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(slow.schema).parquet(f"{base}/out").agg(F.count("*").alias("n"), F.countDistinct("content_hash").alias("hashes"))
+
+
 @registered("st16_recover_dry_run", VERSIONS, sql="SELECT count(*) AS found, count(*) FILTER (WHERE id % 2 = 0) AS committed, count(*) FILTER (WHERE id % 2 = 1) AS already_committed, CAST(0 AS BIGINT) AS failed FROM fv")
 def _(spark, d):
     v = m.versions(spark, d)
