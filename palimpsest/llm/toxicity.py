@@ -7,8 +7,11 @@ n-gram rows with known ones. A text's score is that of its highest passage, so
 a long text isn't thinned out; training follows suit: after a first pass over
 all passages, a toxic text teaches by its highest passages alone.
 
-A word that repeats the one before counts once. Labels are read from a bounded sample of rows outside the held-out fold. Null
-and empty texts, and those without words, score as a passage without n-grams.
+A word that repeats the one before counts once. Labels are read from a bounded
+sample of rows outside the held-out fold, which one task fits; the driver gets
+the weights. Rows of a null id or label teach nothing, and of repeated rows in
+``labels`` the highest label holds. Null and empty texts, and those without
+words, score as a passage without n-grams.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ LEAST_SUBWORDS = 60
 SAMPLE_ROWS = 3000
 SAMPLE_LENGTH = 6_000
 THRESHOLD = 0.3
+#: Passages worked on at a time in training.
+STRETCH = 10_000
 
 _KEYS = (kernels.mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _PLACES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
@@ -114,17 +119,18 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int | None = None, batch
     if not len(starts) or positive in (0.0, 1.0):
         return ToxicityModel(np.zeros(1 << BUCKET_BITS, dtype=np.float32), 4.0 * (positive - 0.5))
     heads, owner = passages(first)
-    buckets, words = [], []
-    for lo in range(0, len(starts), 100_000):  # in word order, a stretch of words at a time
-        pairs = list(subwords(data, starts[lo : lo + 100_000], ends[lo : lo + 100_000]))
+    stops = np.append(heads[1:], len(starts))
+    buckets, sizes = [], np.zeros(len(heads), dtype=np.int64)
+    for lo in range(0, len(heads), STRETCH):  # passage by passage; only the buckets are held for all of them
+        at, to = heads[lo], stops[min(lo + STRETCH, len(heads)) - 1]
+        pairs = list(subwords(data, starts[at:to], ends[at:to]))
         own = np.concatenate([w for _, w in pairs])
         order = np.argsort(own, kind="stable")
         buckets.append(np.concatenate([b for b, _ in pairs])[order].astype(np.int32))
-        words.append(own[order] + np.int32(lo))
-    bucket, word = np.concatenate(buckets), np.concatenate(words)
-    del buckets, words
-    edges = np.concatenate([np.searchsorted(word, heads), [len(word)]])
-    sizes = np.diff(edges)
+        sizes[lo : lo + STRETCH] = np.diff(np.append(np.searchsorted(own[order], heads[lo : lo + STRETCH] - at), len(own)))
+    bucket = np.concatenate(buckets)
+    del buckets
+    edges = np.concatenate([[0], np.cumsum(sizes)])
     parts = np.maximum(sizes, LEAST_SUBWORDS)
     y = labels[owner].astype(np.float64)
     # few toxic texts weigh more, so that their words are learnt in the same number of rounds
@@ -164,9 +170,13 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int | None = None, batch
 
 def _logits(embedding, softmax, bias, bucket, edges, sizes, parts) -> np.ndarray:
     lift = (embedding @ (softmax[1] - softmax[0])).astype(np.float32)
-    full = np.flatnonzero(sizes > 0)
     out = np.full(len(sizes), bias[1] - bias[0])
-    out[full] += np.add.reduceat(lift[bucket], edges[full], dtype=np.float64) / parts[full]
+    for lo in range(0, len(sizes), STRETCH):
+        own = sizes[lo : lo + STRETCH]
+        full = lo + np.flatnonzero(own > 0)
+        if len(full):
+            run = lift[bucket[edges[lo] : edges[lo + len(own)]]]
+            out[full] += np.add.reduceat(run, edges[full] - edges[lo], dtype=np.float64) / parts[full]
     return out
 
 
@@ -174,11 +184,19 @@ def fit_on_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held_ou
     """A model of labelled rows outside the held-out fold."""
     known = labels.where(F.col("toxic").isNotNull() & (doc_bucket("doc_id", folds) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # twice the rows wanted are picked by id and broadcast, so that no text is shuffled but the sample's
-    picked = F.broadcast(bounded_sample(known, "toxic", "doc_id", 2 * rows, most_labels=2))
+    picked = F.broadcast(bounded_sample(known, "toxic", "doc_id", 2 * rows))
     rows_ = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= length)).join(picked, "doc_id")
-    got = bounded_sample(rows_, "toxic", "doc_id", rows, most_labels=2).select("doc_id", "text", "toxic").toLocalIterator()
-    found = sorted((r.doc_id, r.text.encode(), int(r.toxic)) for r in got)
-    return fit([t for _, t, _ in found], np.array([y for _, _, y in found]))
+    sample = bounded_sample(rows_, "toxic", "doc_id", rows).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    # the bounded sample is one task's work, so the driver holds the weights alone
+    told = sample.repartition(1).mapInArrow(_fit_batches, "weights binary, bias double").collect()
+    return ToxicityModel(np.frombuffer(told[0].weights, dtype=np.float32), told[0].bias) if told else fit([], np.zeros(0))
+
+
+def _fit_batches(batches) -> Iterator[pa.RecordBatch]:
+    found = sorted((i, t.encode(), y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns)))
+    if found:
+        model = fit([t for _, t, _ in found], np.array([y for _, _, y in found]))
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["weights", "bias"])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
