@@ -8,13 +8,16 @@ each document.
 Encoding works on white-space-delimited pieces: the vocabulary's normaliser and
 splitter never join text across ASCII white space, so a piece's ids do not depend
 on its neighbours, and each distinct piece is encoded once and kept in a bounded
-cache. Null and empty texts hold just the end id. Rows with one id are ordered by
-text; a null id sorts first.
+cache. Where a text spells out an added token of the vocabulary, as written there,
+the library gives that token's id: texts are cut there, and what lies between is
+encoded by pieces. Null and empty texts hold just the end id. Rows with one id are
+ordered by text and each kept; a null id sorts first. Other columns are left out.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -65,6 +68,12 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("a vocabulary with added tokens that take in what surrounds them")
+        self.added = {t.content.encode(): np.array([i], dtype="<u4").tobytes() for i, t in added.items()}
+        self.cut = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
+        # texts are cut at added tokens first; a piece that becomes one in lower case is plain text
         self.tokenizer.encode_special_tokens = True
         self.mark = next((m for m in MARKS if len(self.ids(m)) == 1), None)
         self.mark_id = self.ids(self.mark)[0] if self.mark else -1
@@ -97,6 +106,23 @@ class PieceEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        raw = data.tobytes()
+        if not any(token in raw for token in self.added):
+            return self.encode_plain(data, offsets)
+        edges, first, tokens = [0], [0], {}
+        for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
+            for found in self.cut.finditer(raw, a, b):
+                tokens[len(edges)] = self.added[found[0]]
+                edges += found.span()
+            edges.append(b)
+            first.append(len(edges) - 1)
+        parts = self.encode_plain(data, np.array(edges, dtype=np.int64))
+        for i, own in tokens.items():
+            parts[i] = own
+        return [b"".join(parts[a:b]) for a, b in zip(first, first[1:])]
+
+    def encode_plain(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Ids of each text, whatever it spells out taken as plain text."""
         if len(self.cache) > CACHE_PIECES:
             self.cache, self.older = {}, self.cache
         apart, put = spread(data)
