@@ -12,7 +12,10 @@ labels are known; no page of a table is used. Texts keep every block labelled
 as main, in page order: character references decoded, white space within a
 block turned into one space, blocks joined by a line feed. Null and empty pages
 and pages without main blocks give an empty text. Tags cut off at the end of a
-page are markup; elements left open are closed by what follows them.
+page are markup; elements left open are closed by what follows them. Reading is
+linear in the page: paths are kept as the sequence of elements opened and closed,
+whose running sum of path vectors is a block's, however deep it lies. Repeated
+rows are read each for itself; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -54,11 +57,63 @@ PLAIN = 6
 
 @dataclass
 class Block:
-    path: tuple[int, ...]
+    steps: int  # of the page's steps, those before it
+    depth: int  # path tokens above it
     text: str
     linked: int  # signs of it that lie in links
 
 
+@dataclass
+class Leaves:
+    """The blocks of a page, and its steps: a path token opened (its slot + 1) or closed (minus that)."""
+
+    blocks: list[Block]
+    steps: list[int]
+
+
+class _Stack:
+    """Open elements. What a tag closes is found by name, so no step looks through the whole stack."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.tokens: list[tuple[int, ...]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.steps: list[int] = []
+        self.depth = 0
+
+    def last(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def open(self, name: str, tokens: tuple[int, ...]) -> None:
+        if name in BLOCK:
+            self.blocks.append(len(self.names))
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.tokens.append(tokens)
+        self.steps += [t + 1 for t in tokens]
+        self.depth += len(tokens)
+
+    def cut(self, at: int) -> None:
+        """Close all from the place ``at`` on."""
+        while len(self.names) > at:
+            name, tokens = self.names.pop(), self.tokens.pop()
+            self.places[name].pop()
+            self.steps += [-t - 1 for t in tokens]
+            self.depth -= len(tokens)
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
+
+    def make_room(self, name: str) -> None:
+        """Close what an opening block-level tag ends."""
+        if name not in ("button", "label") and self.blocks and self.names[self.blocks[-1]] == "p":
+            self.cut(self.blocks[-1])
+        if name in CLOSES:
+            stop = self.last(STOPS)
+            while (at := self.last(CLOSES[name])) > stop:
+                self.cut(at)
+
+
 @lru_cache(20_000)
 def _marks(tag: str, attributes: str) -> tuple[int, ...]:
     """Hashed tokens of an element: its tag, and words of its class, id and role."""
@@ -81,12 +136,12 @@ def _slot(token: str) -> int:
     return int(kernels.span_hashes(raw, np.array([0]), np.array([len(raw)]))[0] & np.uint64((1 << PATH_BITS) - 1))
 
 
-def read_blocks(page: str) -> list[Block]:
+def read_blocks(page: str) -> Leaves:
     """The leaf sequence of a page."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    stack = _Stack()
     parts: list[str] = []
-    linked = links = 0
+    linked = 0
     at, n = 0, len(page)
 
     def flush() -> None:
@@ -95,8 +150,7 @@ def read_blocks(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                path = tuple(t for _, tokens in stack for t in tokens)
-                blocks.append(Block(path, text, min(linked, len(text))))
+                blocks.append(Block(len(stack.steps), stack.depth, text, min(linked, len(text))))
         linked = 0
 
     def add(raw: str) -> None:
@@ -104,7 +158,7 @@ def read_blocks(page: str) -> list[Block]:
         if raw:
             text = html_lib.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if links:
+            if stack.places.get("a"):
                 linked += len(text.strip())
 
     while at < n:
@@ -121,11 +175,8 @@ def read_blocks(page: str) -> list[Block]:
         if closing:
             if name in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    break
+            if (place := stack.last((name,))) >= 0:
+                stack.cut(place)
             continue
         if name in RAW:
             if not attributes.endswith("/"):
@@ -136,32 +187,33 @@ def read_blocks(page: str) -> list[Block]:
             parts.append(" ")
         if name in BLOCK:
             flush()
-            if name != "button" and name != "label":
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES.get(name, ()):
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                elif stack[i][0] in STOPS:
-                    break
+            stack.make_room(name)
         if name not in VOID and not attributes.endswith("/"):
-            stack.append((name, _marks(name, attributes)))
-            links += name == "a"
+            stack.open(name, _marks(name, attributes))
     flush()
-    return blocks
+    stack.cut(0)
+    return Leaves(blocks, stack.steps)
 
 
-def describe(pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Path slots and their ends, word slots and their ends, plain measures, for all blocks of all pages in a row."""
-    blocks = [b for page in pages for b in page]
-    path = np.fromiter((t for b in blocks for t in b.path), dtype=np.int64)
-    path_ends = np.cumsum([len(b.path) for b in blocks])
+@dataclass
+class Described:
+    """What the labeller reads of all blocks of all pages in a row."""
+
+    slots: np.ndarray  # of the steps of all pages
+    signs: np.ndarray
+    steps: np.ndarray  # of each block: the steps before it
+    depth: np.ndarray
+    words: np.ndarray  # slots of words, and where those of each block end
+    word_ends: np.ndarray
+    plain: np.ndarray
+
+
+def describe(pages: list[Leaves]) -> Described:
+    blocks = [b for page in pages for b in page.blocks]
+    steps = np.fromiter((t for page in pages for t in page.steps), dtype=np.int64)
+    before = np.cumsum([0, *(len(p.steps) for p in pages)])
+    at = np.repeat(before[:-1], [len(p.blocks) for p in pages]) + np.array([b.steps for b in blocks], dtype=np.int64)
+    depth = np.array([b.depth for b in blocks], dtype=np.int64)
     texts = [b.text.encode() for b in blocks]
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
@@ -173,16 +225,32 @@ def describe(pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     stops, digits = sums(np.isin(data, [0x2C, 0x2E, 0x21, 0x3F])), sums((data >= 48) & (data < 58))
     n_words = np.diff(first)
     safe = np.maximum(size, 1)
-    plain = np.stack([np.log1p(size) / 6, linked / safe, stops / np.maximum(n_words, 1), digits / safe, np.log1p(n_words) / 5, np.array([len(b.path) for b in blocks]) / 12], 1)
-    return path, path_ends, words, first[1:], plain
+    plain = np.stack([np.log1p(size) / 6, linked / safe, stops / np.maximum(n_words, 1), digits / safe, np.log1p(n_words) / 5, depth / 12], 1)
+    return Described(np.abs(steps) - 1, np.sign(steps), at, depth, words, first[1:], plain)
 
 
 def _means(table: np.ndarray, slots: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[slots], axis=0)])
+    sums = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[slots], axis=0, dtype=np.float64)])
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     return (sums[ends] - sums[starts]) / np.maximum(ends - starts, 1)[:, None]
 
 
+def _path_means(table: np.ndarray, d: Described) -> np.ndarray:
+    """The mean vector of the tokens open at each block."""
+    sums = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[d.slots] * d.signs[:, None], axis=0, dtype=np.float64)])
+    return sums[d.steps] / np.maximum(d.depth, 1)[:, None]
+
+
+def _path_gradient(shape: tuple[int, int], d: Described, pull: np.ndarray) -> np.ndarray:
+    """The gradient of the path table, given that of the means."""
+    share = np.zeros((len(d.slots) + 1, shape[1]))
+    np.add.at(share, d.steps, pull / np.maximum(d.depth, 1)[:, None])
+    after = np.cumsum(share[::-1], axis=0)[::-1][1:]  # a step counts for every block behind it
+    out = np.zeros(shape)
+    np.add.at(out, d.slots, after * d.signs[:, None])
+    return out
+
+
 @dataclass
 class Labeller:
     """A bidirectional LSTM over block vectors; all parameters in one dictionary."""
@@ -204,9 +272,8 @@ class Labeller:
         w["out_b"] = np.zeros(1)
         return Labeller(w)
 
-    def vectors(self, described) -> np.ndarray:
-        path, path_ends, words, word_ends, plain = described
-        return np.concatenate([_means(self.weights["path"], path, path_ends), _means(self.weights["word"], words, word_ends), plain], 1)
+    def vectors(self, d: Described) -> np.ndarray:
+        return np.concatenate([_path_means(self.weights["path"], d), _means(self.weights["word"], d.words, d.word_ends), d.plain], 1)
 
     def run(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits [time, page] of padded vectors [time, page, input]; with ``keep`` also what training needs."""
@@ -219,7 +286,7 @@ class Labeller:
             out, kept = np.zeros((*x.shape[:2], hidden), x.dtype), []
             for t in steps:
                 z = pre[t] + h @ self.weights[f"{d}_h"]
-                gates = 1 / (1 + np.exp(-z[:, : 3 * hidden]))
+                gates = 1 / (1 + np.exp(-np.clip(z[:, : 3 * hidden], -60, 60)))
                 i, f, o = gates[:, :hidden], gates[:, hidden : 2 * hidden], gates[:, 2 * hidden :]
                 g = np.tanh(z[:, 3 * hidden :])
                 m = mask[t][:, None]
@@ -286,36 +353,32 @@ def trained_labeller(pages: int = 2000, epochs: int = 10, batch: int = 24, rate:
     rng = np.random.default_rng(seed)
     examples = []
     for page, wanted in generate_pages(pages, seed):
-        blocks = read_blocks(page)
-        labels = np.array([b.text in wanted for b in blocks], dtype=np.float64)
-        if blocks:
-            examples.append((blocks, labels))
+        leaves = read_blocks(page)
+        labels = np.array([b.text in wanted for b in leaves.blocks], dtype=np.float64)
+        if leaves.blocks:
+            examples.append((leaves, labels))
     model = Labeller.fresh()
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
     step = 0
     for epoch in range(epochs):
-        lengths = np.array([len(b) for b, _ in examples])
+        lengths = np.array([len(labels) for _, labels in examples])
         order = np.lexsort((rng.random(len(examples)), lengths // 8))
         groups = [order[i : i + batch] for i in range(0, len(order), batch)]
         rng.shuffle(groups)
         for rows in groups:
-            pages_ = [examples[i][0] for i in rows]
-            described = describe(pages_)
-            path, path_ends, words, word_ends, _ = described
-            vectors = model.vectors(described)
-            x, mask = _padded(vectors, [len(p) for p in pages_])
+            described = describe([examples[i][0] for i in rows])
+            counts = [len(examples[i][1]) for i in rows]
+            x, mask = _padded(model.vectors(described), counts)
             y = np.zeros(mask.shape)
             for j, i in enumerate(rows):
                 y[: len(examples[i][1]), j] = examples[i][1]
             grads, dx, _ = model.gradients(x, mask, y)
-            flat = np.concatenate([dx[: len(p), j] for j, p in enumerate(pages_)])
-            at = model.weights["path"].shape[1]
-            for name, slots, ends, lo, hi in (("path", path, path_ends, 0, at), ("word", words, word_ends, at, at + model.weights["word"].shape[1])):
-                n = np.diff(np.concatenate([[0], ends]))
-                share = np.repeat(flat[:, lo:hi] / np.maximum(n, 1)[:, None], n, axis=0)
-                g = np.zeros_like(model.weights[name])
-                np.add.at(g, slots, share)
-                grads[name] = g
+            flat = np.concatenate([dx[:n, j] for j, n in enumerate(counts)])
+            at, to = model.weights["path"].shape[1], model.weights["path"].shape[1] + model.weights["word"].shape[1]
+            grads["path"] = _path_gradient(model.weights["path"].shape, described, flat[:, :at])
+            n = np.diff(np.concatenate([[0], described.word_ends]))
+            grads["word"] = np.zeros_like(model.weights["word"])
+            np.add.at(grads["word"], described.words, np.repeat(flat[:, at:to] / np.maximum(n, 1)[:, None], n, axis=0))
             step += 1
             pace = rate * (1 - 0.8 * epoch / epochs)
             for k, g in grads.items():
@@ -327,22 +390,22 @@ def trained_labeller(pages: int = 2000, epochs: int = 10, batch: int = 24, rate:
     return model
 
 
-def label_pages(model: Labeller, pages: list[list[Block]], batch: int = 256) -> list[np.ndarray]:
+def label_pages(model: Labeller, pages: list[Leaves], batch: int = 256) -> list[np.ndarray]:
     """For each page, whether each of its blocks is main text."""
+    sizes = [len(p.blocks) for p in pages]
     out: list[np.ndarray] = [np.zeros(0, dtype=bool)] * len(pages)
-    order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
+    order = sorted((i for i in range(len(pages)) if sizes[i]), key=sizes.__getitem__)
     at = 0
     while at < len(order):
         rows = order[at : at + batch]
-        if len(pages[rows[-1]]) > 400:  # long pages are run in smaller batches
-            rows = rows[: max(1, batch * 400 // (len(pages[rows[-1]]) + 1) // 4)]
+        if sizes[rows[-1]] > 400:  # long pages are run in smaller batches
+            rows = rows[: max(1, batch * 400 // (sizes[rows[-1]] + 1) // 4)]
         at += len(rows)
-        own = [pages[i] for i in rows]
-        vectors = model.vectors(describe(own)).astype(np.float32)
-        x, mask = _padded(vectors, [len(p) for p in own])
+        vectors = model.vectors(describe([pages[i] for i in rows])).astype(np.float32)
+        x, mask = _padded(vectors, [sizes[i] for i in rows])
         logits = model.run(x, mask)
         for j, i in enumerate(rows):
-            out[i] = logits[: len(pages[i]), j] > 0
+            out[i] = logits[: sizes[i], j] > 0
     return out
 
 
@@ -360,9 +423,9 @@ def extract_main_text(df: DataFrame, html_col: str = "html", out_col: str = "tex
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
                 pages = [read_blocks(p.as_py() or "") for p in batch.column(at)]
-                texts = ["\n".join(b.text for b, main in zip(blocks, labels) if main) for blocks, labels in zip(pages, label_pages(own, pages))]
+                texts = ["\n".join(b.text for b, main in zip(leaves.blocks, labels) if main) for leaves, labels in zip(pages, label_pages(own, pages))]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i) for i in others), pa.array(texts, pa.string()), pa.array([len(p) for p in pages], pa.int64())], names=names
+                    [*(batch.column(i) for i in others), pa.array(texts, pa.string()), pa.array([len(p.blocks) for p in pages], pa.int64())], names=names
                 )
 
     return kept.mapInArrow(run, with_fields(kept.drop(html_col).schema, **{out_col: "string", "n_blocks": "long"}))
