@@ -72,20 +72,25 @@ def doc_bucket(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def bounded_sample(df: DataFrame, label: str, key: str, per_label: int, most_labels: int = 64) -> DataFrame:
-    """At most ``per_label`` rows of each label, chosen by a hash of ``key``.
+#: Labels up to this many are broadcast with their counts; more are joined by a shuffle.
+BROADCAST_LABELS = 10_000
+
+
+def bounded_sample(df: DataFrame, label: str, key: str, per_label: int, late: str | None = None) -> DataFrame:
+    """At most ``per_label`` rows of each label, chosen by a hash of ``key``; rows whose ``late`` is greater come after others.
 
     Counts are taken over all rows; a hash threshold keeps what is shuffled small
-    before the exact cut, however many rows one label has.
+    before the exact cut, however many rows one label has. Null keys are left out.
     """
     from pyspark.sql import Window
 
-    counts = df.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels)
+    kinds = [label, late] if late else [label]
+    df = df.where(F.col(key).isNotNull())
+    counts = df.groupBy(*kinds).count()
+    few = counts.limit(BROADCAST_LABELS + 1).collect()  # a pass over the rows; a row for each label
+    if len(few) <= BROADCAST_LABELS:
+        counts = F.broadcast(df.sparkSession.createDataFrame(few, counts.schema))
     slot = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20))
-    thin = (
-        df.withColumn("_slot", slot)
-        .join(F.broadcast(counts), label)
-        .where(F.col("_slot") * F.col("count") <= F.lit(float((1 << 20) * per_label * 2)))
-    )
-    order = Window.partitionBy(label).orderBy("_slot", key)
-    return thin.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).drop("_slot", "_n", "count")
+    thin = df.withColumn("_slot", slot).join(counts, kinds).where(F.col("_slot") * F.col("count") <= F.lit(float((1 << 20) * per_label * 2)))
+    order = Window.partitionBy(label).orderBy(*([late] if late else []), "_slot", key)
+    return thin.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).drop("_slot", "_n", "count", *([late] if late else []))

@@ -180,7 +180,6 @@ def test_token_orc(spark, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     docs = odd_documents(spark).unionByName(spark.createDataFrame([(100 + i, f"Text no. {i}, it's {'©' if i % 9 == 0 else 'done'}!") for i in range(300)], "doc_id long, text string"), allowMissingColumns=True)
     path = str(tmp_path / "ids")
     token_orc.write_token_orc(docs, path, WORDS, partitions=5)
@@ -474,10 +473,10 @@ def test_leaves_agree_with_visits():
 
 def test_html_blocks_read():
     page = "<!doctype html><title>t</title><script>var a='</p>';</script><nav><ul><li><a href='/x'>Home &amp; more</a><li>Two</ul></nav><!-- <p>no</p> --><article><p>One <b>two</b>\n three<p>Four<br>five &lt;tag&gt; &copy; a < b</article><foot"
-    blocks = html_blocks.read_blocks(page)
+    blocks = html_blocks.read_blocks(page).blocks
     assert [b.text for b in blocks] == ["Home & more", "Two", "One two three", "Four five <tag> © a < b"]
     assert blocks[0].linked == len("Home & more") and blocks[1].linked == 0
-    assert html_blocks.read_blocks("") == []
+    assert html_blocks.read_blocks("").blocks == []
 
 
 def test_html_labels_held_out_pages():
@@ -486,8 +485,8 @@ def test_html_labels_held_out_pages():
     blocks = [html_blocks.read_blocks(p) for p, _ in pages]
     right = total = 0
     for (_, wanted), own, told in zip(pages, blocks, html_blocks.label_pages(model, blocks)):
-        right += sum((b.text in wanted) == bool(t) for b, t in zip(own, told))
-        total += len(own)
+        right += sum((b.text in wanted) == bool(t) for b, t in zip(own.blocks, told))
+        total += len(own.blocks)
     assert right / total > 0.97
 
 
