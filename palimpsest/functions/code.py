@@ -11,6 +11,7 @@ import hashlib
 import json
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -183,110 +184,141 @@ SYMBOL = T.StructType(
     ]
 )
 
-# The declarations that count as public symbols.
-_DECLARED = (
-    ("function", re.compile(r'^\s*pub(?:\([^)]+\))?\s+(?:(?:async|const|unsafe|extern(?:\s+"[^"]*")?)\s+)*fn\s+(\w+)', re.A)),
-    ("struct", re.compile(r"^\s*pub(?:\([^)]+\))?\s+struct\s+(\w+)", re.A)),
-    ("enum", re.compile(r"^\s*pub(?:\([^)]+\))?\s+enum\s+(\w+)", re.A)),
-    ("trait", re.compile(r"^\s*pub(?:\([^)]+\))?\s+(?:unsafe\s+)?trait\s+(\w+)", re.A)),
+# Fixed value: how a doc comment names the id of its item.
+_ID = re.compile(r"@id:\s*([0-9a-fA-F-]{36})")
+#: Words between ``pub`` and the word that says what is declared, and the kinds those words give.
+_QUALIFIERS = frozenset(("async", "const", "unsafe", "extern"))
+_KINDS = {"fn": "function", "struct": "struct", "enum": "enum", "trait": "trait"}
+#: Rust source as a sequence of pieces; a gap is an empty line.
+_RUST = re.compile(
+    r"""(?P<doc>///[^\n]*)|(?P<note>//[^\n]*)|(?P<comment>/\*)|(?P<raw>\br(?P<hashes>\#*)")|(?P<text>"(?:[^"\\]|\\.)*"?)|(?P<sign>'(?:\\[^\n]+?|[^'\\\n])')"""
+    r"""|(?P<attribute>\#!?\[)|(?P<gap>\n[ \t\r]*(?=\n))|(?P<word>\w+)|(?P<arrow>[-=]>)|(?P<mark>[^\s\w])""",
+    re.S | re.X,
 )
-_IMPL = re.compile(r"^\s*(?:unsafe\s+)?impl\b")
-_ID = re.compile(r"///\s*@id:\s*([0-9a-fA-F-]{36})")
-
-
-@dataclass
-class _Skipper:
-    """Which lines are inside a block comment or a test module."""
-
-    comment: bool = False
-    armed: bool = False
-    depth: int | None = None
-
-    def skips(self, line: str) -> bool:
-        text = line.strip()
-        if self.comment:
-            self.comment = "*/" not in text
-            return True
-        if text.startswith("/*"):
-            self.comment = "*/" not in text
-            return True
-        if self.depth is not None:
-            self.depth += line.count("{") - line.count("}")
-            if self.depth <= 0:
-                self.depth = None
-            return True
-        if text.startswith("#[cfg(test)]"):
-            self.armed = True
-            return True
-        if self.armed and text.startswith("mod "):
-            self.armed, self.depth = False, line.count("{") - line.count("}")
-            return True
-        if text and not text.startswith(("//", "#")):
-            self.armed = False
-        return not text or text.startswith("//")
-
-
-def impl_name(header: str) -> str:
-    """The type an impl block is for."""
-    body = re.sub(r"^(?:unsafe\s+)?impl\b\s*", "", header.strip())
-    if body.startswith("<"):
-        depth = 0
-        for i, c in enumerate(body):
-            depth += (c == "<") - (c == ">")
+_OPENS = {"(": ")", "[": "]", "{": "}", "<": ">", "#[": "]", "#![": "]"}
+
+
+@dataclass(frozen=True)
+class _Piece:
+    kind: str
+    text: str
+    start: int
+    line: int
+    leads: bool  # nothing but blanks before it in its line
+
+
+def _pieces(source: str) -> list[_Piece]:
+    """The pieces of a source; strings and comments are one each, so what they hold is never code."""
+    out, at, line, counted, last = [], 0, 1, 0, 0
+    while found := _RUST.search(source, at):
+        start, at = found.span()
+        if found.lastgroup == "comment" or found["raw"]:
+            close = "*/" if not found["raw"] else '"' + found["hashes"]
+            end = source.find(close, at)
+            at = len(source) if end < 0 else end + len(close)
+        line, counted = line + source.count("\n", counted, start), start
+        kind = "raw" if found["raw"] else found.lastgroup
+        out.append(_Piece(kind, found[0], start, line, not out or source.find("\n", last, start) >= 0))
+        last = at
+    return out
+
+
+class _Symbols:
+    """Reads items off the pieces of one source, with the doc comment and attributes before each."""
+
+    def __init__(self, source: str):
+        self.source, self.pieces = source, _pieces(source)
+
+    def text(self, at: int) -> str:
+        own = self.pieces[at] if at < len(self.pieces) else None
+        return own.text if own and own.kind in ("word", "mark", "attribute") else ""
+
+    def past(self, at: int) -> int:
+        """The place after the bracket that closes the one at ``at``; brackets of other sorts nest."""
+        close, depth = _OPENS[self.text(at)], 0
+        sorts = {o for o, c in _OPENS.items() if c == close}
+        while at < len(self.pieces):
+            depth += (self.text(at) in sorts) - (self.text(at) == close)
+            at += 1
             if depth == 0:
-                body = body[i + 1 :]
                 break
-    body = re.split(r"\bwhere\b|\{", body)[0]
-    target = re.split(r"\bfor\b", body)[-1].strip()
-    return re.match(r"[^<\s]*", target)[0]
-
-
-def find_symbols(source: str) -> list[tuple]:
-    """(kind, name, line, id, doc_summary) of public items and impl blocks outside comments and tests."""
-    lines, found, skipper = code_lines(source), [], _Skipper()
-    for at, line in enumerate(lines):
-        if skipper.skips(line):
-            continue
-        kind = name = None
-        for declared_kind, pattern in _DECLARED:
-            if match := pattern.match(line):
-                kind, name = declared_kind, match[1]
-                break
-        else:
-            text = line.strip()
-            if _IMPL.match(line):
-                headed = any(t in text for t in ("{", "for", "where")) and not text.endswith((",", ")"))
-                after = lines[at + 1] if at + 1 < len(lines) else ""
-                if headed or "{" in after or after.strip().startswith("where"):
-                    kind, name = "impl_block", impl_name(text)
-        if kind:
-            found.append((kind, name, at + 1, *_documented(lines, at)))
-    return found
-
-
-def _documented(lines: list[str], at: int) -> tuple[str | None, str | None]:
-    """Id and first sentence of the doc comment over an item, past its attributes."""
-    notes, depth = [], 0
-    for line in reversed(lines[:at]):
-        text = line.strip()
-        if not text and depth <= 0:
-            break
-        depth += text.count("]") - text.count("[")
-        if text.startswith("///") and depth <= 0:
-            notes.append(text)
-        elif not ((text.startswith(("#[", "#![")) or depth > 0) and not notes) and not text.startswith("//"):
-            break
-    notes.reverse()
-    ids = (m[1] for n in notes if (m := _ID.search(n)))
-    summary = next((t for n in notes if (t := n[3:].strip()) and not t.startswith("@id:")), None)
-    for found in ids:
+        return at
+
+    def item(self, at: int) -> tuple[str, str] | None:
+        """(kind, name) of the public item or impl block that begins at a piece."""
+        if self.text(at) == "pub":
+            at += 1
+            if self.text(at) == "(":
+                at = self.past(at)
+            while self.text(at) in _QUALIFIERS or (at < len(self.pieces) and self.pieces[at].kind == "text"):
+                at += 1
+            kind, name = _KINDS.get(self.text(at)), self.text(at + 1)
+            return (kind, name) if kind and name.isidentifier() else None
+        at += self.text(at) == "unsafe"
+        if self.text(at) != "impl":
+            return None
+        at += 1
+        if self.text(at) == "<":
+            at = self.past(at)
+        target = at
+        while at < len(self.pieces) and self.text(at) not in ("{", ";", "where"):
+            if self.text(at) == "<":
+                at = self.past(at)
+                continue
+            at += 1
+            if self.text(at - 1) == "for" and self.text(at) != "<":
+                target = at
+        body = next((self.text(i) for i in range(at, len(self.pieces)) if self.text(i) in ("{", ";")), "")
+        if body != "{" or target >= at:
+            return None
+        return "impl_block", re.compile(r"[^<\s{]*").match(self.source, self.pieces[target].start)[0]
+
+    def found(self) -> Iterator[tuple]:
+        docs: list[str] = []
+        attributes = testing = False
+        at = 0
+        while at < len(self.pieces):
+            own, text = self.pieces[at], self.text(at)
+            at += 1
+            if own.kind == "doc":
+                docs = [own.text] if attributes else [*docs, own.text]
+                attributes = False
+            elif own.kind == "note":
+                continue
+            elif own.kind == "attribute":
+                end = self.past(at - 1)
+                testing = testing or "".join(p.text for p in self.pieces[at : end - 1]) == "cfg(test)"
+                attributes, at = True, end
+            elif own.kind == "gap":
+                docs, attributes = [], False
+            elif testing and (text == "mod" or (text == "pub" and self.text(at) == "mod")):
+                while at < len(self.pieces) and self.text(at) not in ("{", ";"):
+                    at += 1
+                at = self.past(at) if self.text(at) == "{" else at
+                docs, attributes, testing = [], False, False
+            else:
+                if own.leads and text in ("pub", "unsafe", "impl") and (item := self.item(at - 1)):
+                    yield (*item, own.line, *_told(docs))
+                docs, attributes, testing = [], False, False
+
+
+def _told(docs: list[str]) -> tuple[str | None, str | None]:
+    """The id that doc lines name, and the first of them that says something else."""
+    said = [d[3:].strip() for d in docs]
+    summary = next((s for s in said if s and not s.startswith("@id:")), None)
+    for found in filter(None, map(_ID.search, said)):
         try:
-            return str(uuid.UUID(found)), summary
+            return str(uuid.UUID(found[1])), summary
         except ValueError:
             continue
     return None, summary
 
 
+def find_symbols(source: str) -> list[tuple]:
+    """(kind, name, line, id, doc_summary) of public items and impl blocks that begin a line, outside comments, strings and test modules."""
+    return list(_Symbols(source).found())
+
+
 @pandas_udf(T.ArrayType(SYMBOL))
 def symbols_of(source: pd.Series) -> pd.Series:
     return source.map(lambda s: find_symbols(s or ""))

@@ -1,8 +1,11 @@
 """Directory trees: paths, reachability and changes of the tree.
 
-Levels are joined one after the other, all nodes of a level at once; the loop
-runs as many times as the tree is deep. Each level is a plan over the last, cut
-by a table in the shared folder every few levels.
+Ways to the root are found by pointer doubling: each node knows an ancestor and
+the way to it, and in a round takes over what that ancestor knows, so the ways
+double and a tree of any depth needs as many rounds as its depth has binary
+digits. Each round is a join of the nodes with themselves and a table in the
+shared folder. A round in which no node arrives means that none can: what is
+left hangs on a cycle, or on no root.
 """
 
 from __future__ import annotations
@@ -10,27 +13,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.session import new_folder, remove, written
+
 ROOT = 1
 
 
-def with_paths(inodes: DataFrame, most_levels: int = 64) -> DataFrame:
-    """(id, ino, is_dir, path, depth) of everything under the root, which is ``/``; a cycle ends at ``most_levels``."""
-    spark = inodes.sparkSession
-    slim = inodes.select("id", "ino", "parent_id", "name", "is_dir")
-    view = f"_inodes_{abs(hash(id(inodes)))}"
-    slim.createOrReplaceTempView(view)
-    # WITH RECURSIVE keeps the whole walk in one plan; a level is one join
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(id, ino, is_dir, path, depth) MAX RECURSION LEVEL {most_levels} AS (
-          SELECT id, ino, is_dir, '' AS path, 0 AS depth FROM {view} WHERE ino = {ROOT}
-          UNION ALL
-          SELECT c.id, c.ino, c.is_dir, concat(w.path, '/', c.name), w.depth + 1 FROM {view} c JOIN walk w ON c.parent_id = w.id
-        )
-        SELECT id, ino, is_dir, CASE WHEN path = '' THEN '/' ELSE path END AS path, depth FROM walk
-        """
+def _arrived(nodes: DataFrame, step) -> DataFrame:
+    """Rows of (id, up, .., arrived) that have arrived. ``step`` joins those under way (l) with what they point to (r)."""
+    spark = nodes.sparkSession
+    folder, n = new_folder(spark, "tree"), 0
+    state = written(nodes, f"{folder}/0")
+    there = state.where("arrived").count()
+    while True:
+        moved = step(state.where(~F.col("arrived")).alias("l"), state.alias("r")).select(*state.columns)
+        n += 1
+        state = written(state.where("arrived").unionByName(moved), f"{folder}/{n}")
+        remove(spark, f"{folder}/{n - 1}")
+        before, there = there, state.where("arrived").count()
+        if there == before:
+            return state.where("arrived")
+
+
+def with_paths(inodes: DataFrame) -> DataFrame:
+    """(id, ino, is_dir, path, depth) of everything under the root, which is ``/``. What hangs on a cycle isn't under it."""
+    root = F.col("ino") == ROOT
+    slim = inodes.select(
+        "id", "ino", "is_dir", F.when(~root, F.col("parent_id")).alias("up"), F.when(root, "").otherwise(F.concat(F.lit("/"), "name")).alias("path"), F.when(root, 0).otherwise(1).alias("depth"), root.alias("arrived")
     )
 
+    def step(l: DataFrame, r: DataFrame) -> DataFrame:
+        both = l.join(r, F.col("l.up") == F.col("r.id"))
+        return both.select("l.id", "l.ino", "l.is_dir", "r.up", F.concat("r.path", "l.path").alias("path"), (F.col("l.depth") + F.col("r.depth")).alias("depth"), "r.arrived")
+
+    found = _arrived(slim, step)
+    return found.select("id", "ino", "is_dir", F.when(F.col("path") == "", "/").otherwise(F.col("path")).alias("path"), "depth")
+
 
 def reachable_files(inodes: DataFrame) -> DataFrame:
     return with_paths(inodes).where(~F.col("is_dir"))
@@ -59,14 +76,17 @@ def must_resolve(inodes: DataFrame, path: str):
 
 
 def descendants(inodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Ids of ``roots`` (id) and of everything below them."""
-    spark = inodes.sparkSession
-    nodes, tops = f"_n_{abs(hash(id(inodes)))}", f"_r_{abs(hash(id(roots)))}"
-    inodes.select("id", "parent_id").createOrReplaceTempView(nodes)
-    roots.select("id").createOrReplaceTempView(tops)
-    return spark.sql(
-        f"WITH RECURSIVE down(id) AS (SELECT id FROM {tops} UNION ALL SELECT c.id FROM {nodes} c JOIN down d ON c.parent_id = d.id) SELECT DISTINCT id FROM down"
-    )
+    """Ids of ``roots`` (id) and of everything below them, in a cycle too."""
+    tops = roots.select("id").distinct()
+    nodes = inodes.select("id", F.col("parent_id").alias("up")).join(tops.withColumn("below", F.lit(True)), "id", "full_outer")
+    below = F.coalesce("below", F.lit(False))
+    nodes = nodes.select("id", "up", below.alias("below"), (below | F.col("up").isNull()).alias("arrived"))
+
+    def step(l: DataFrame, r: DataFrame) -> DataFrame:
+        both = l.join(r, F.col("l.up") == F.col("r.id"), "left")
+        return both.select("l.id", "r.up", F.coalesce("r.below", F.lit(False)).alias("below"), F.coalesce("r.arrived", F.lit(True)).alias("arrived"))
+
+    return _arrived(nodes, step).where("below").select("id")
 
 
 def delete_cascade(inodes: DataFrame, gone: DataFrame, versions: DataFrame, dependants: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -46,5 +47,36 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a folder of our own where it is unset and the session is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    own = getattr(spark, "_palimpsest_scratch", None)
+    if own is None:
+        own = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+        spark._palimpsest_scratch = own
+    return own
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder in the shared one that nothing else uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """df as the table it is written to: lineage ends there, so a lost executor costs no more than what follows."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing lazy refers to any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -90,6 +90,27 @@ def test_symbols():
     ]
 
 
+def test_symbols_past_strings_generics_and_attributes():
+    source = (
+        '/// Not this one.\n#[derive(Debug)]\n/// @id: zz111111-2222-3333-4444-555555555555\n/// @id: 21111111-2222-3333-4444-555555555555\n/// Said.\n#[cfg(\n    any(a, b)\n)]\n'
+        'pub(in crate::x) async unsafe extern "C" fn f<T>() {\n    let s = "}\\" pub fn no() {";\n    let r = r#"\npub fn raw() {}"#;\n    let c = \'{\';\n}\n'
+        "/// Lost.\n\npub unsafe trait T<'a> {}\n  pub const fn k() {}\nfn private() {} pub fn inline() {}\n"
+        "unsafe impl<F: Fn(u8) -> u8, T> crate::a::B<F>\n    for\n    Vec<T>\nwhere\n    T: Copy,\n{\n    /// Inner.\n    pub fn inner(&self) {}\n}\nimpl Plain {}\nimpl Trait;\n"
+        '#[cfg(test)]\n#[allow(x)]\nmod tests {\n    const S: &str = "}";\n    pub fn hidden() {}\n}\n/* a\npub enum No {} */\npub enum E { A }\n'
+    )
+    mine = "21111111-2222-3333-4444-555555555555"
+    assert [(k, n, i, d) for k, n, _, i, d in code.find_symbols(source)] == [
+        ("function", "f", mine, "Said."),
+        ("trait", "T", None, None),
+        ("function", "k", None, None),
+        ("impl_block", "Vec", None, None),
+        ("function", "inner", None, "Inner."),
+        ("impl_block", "Plain", None, None),
+        ("enum", "E", None, None),
+    ]
+    assert all(source.split("\n")[line - 1].split()[0] in ("pub", "pub(in", "unsafe", "impl") for _, _, line, _, _ in code.find_symbols(source))
+
+
 def test_noise_vector():
     v = fn.noise_vector("hello", 1024)
     assert len(v) == 1024 and abs(float((v.astype(float) ** 2).sum()) - 1) < 1e-4

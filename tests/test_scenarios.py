@@ -116,6 +116,18 @@ def test_import_and_content(spark, tmp_path):
     assert sorted(got.values(), key=str) == sorted([("same", None), ("same", None), (None, "/wA=")], key=str)
 
 
+def test_trees_deep_and_with_cycles(spark):
+    rows = [("n0", 1, None, "", True)] + [(f"n{k}", k + 1, f"n{k - 1}", f"d{k}", True) for k in range(1, 501)]
+    rows += [("x", 900, "z", "x", True), ("y", 901, "x", "y", True), ("z", 902, "y", "z", True), ("w", 903, "z", "w", False), ("lost", 904, "nowhere", "l", False)]
+    t = inodes(spark, rows)
+    found = {r.id: r for r in tree.with_paths(t).collect()}
+    assert set(found) == {f"n{k}" for k in range(501)}
+    assert found["n500"].depth == 500 and found["n500"].path == "".join(f"/d{k}" for k in range(1, 501)) and found["n0"].path == "/"
+    below = lambda root: {r.id for r in tree.descendants(t, t.where(F.col("id") == root)).collect()}
+    assert below("n250") == {f"n{k}" for k in range(250, 501)} and below("y") == {"x", "y", "z", "w"} and below("lost") == {"lost"} and below("none") == set()
+    assert tree.with_paths(t.limit(0)).count() == 0
+
+
 def test_tree(spark):
     t = inodes(spark, [("root", 1, None, "", True), ("a", 2, "root", "a", True), ("f", 3, "a", "f.rs", False), ("g", 4, "root", "g", False), ("o", 5, None, "orphan", False)])
     assert {r.id: r.path for r in tree.with_paths(t).collect()} == {"root": "/", "a": "/a", "f": "/a/f.rs", "g": "/g"}
