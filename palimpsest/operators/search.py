@@ -7,6 +7,8 @@ proven bound, and are broadcast.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,10 +107,72 @@ def flat_search(embeddings: DataFrame, versions: DataFrame, inodes: DataFrame, b
     )
 
 
-def mergeable_pairs(centroids: DataFrame, threshold: float, limit: int = 50) -> DataFrame:
-    """(a, b, distance): the closest pairs of active centroids of one combination below a threshold."""
-    own = active(centroids).select("id", "plugin_type", "model_id", "dim", "centroid")
-    other = own.select(F.col("id").alias("b"), "plugin_type", "model_id", "dim", F.col("centroid").alias("other"))
-    pairs = own.join(other, ["plugin_type", "model_id", "dim"]).where("id < b")
-    near = pairs.select(F.col("id").alias("a"), "b", cosine_distance(F.col("centroid"), F.col("other")).alias("distance")).where(F.col("distance") < threshold)
-    return near.orderBy("distance", "a", "b").limit(limit)
+#: Rows of a block: two of them and their distances to each other are a task's work.
+BLOCK = 2048
+
+
+def block_pairs(rows: DataFrame, keys: list[str], block: int = BLOCK, id_col: str = "id") -> DataFrame:
+    """rows by (keys.., row, col) with ``first``: every two blocks of a group meet once, as the rows of one and of the other.
+
+    Blocks are dealt by a hash of the id, as many as the group's rows need, so a
+    task holds two of them however large a group is, and no pairs are shuffled.
+    """
+    many = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    placed = rows.join(many, keys).withColumn("_own", F.pmod(F.xxhash64(id_col), F.col("_blocks")))
+    one = placed.withColumns({"row": F.col("_own"), "col": F.explode(F.sequence(F.col("_own"), F.col("_blocks") - 1)), "first": F.lit(True)})
+    other = placed.withColumns({"col": F.col("_own"), "row": F.explode(F.sequence(F.lit(0).cast("long"), F.col("_own"))), "first": F.lit(False)})
+    return one.unionByName(other).drop("_own", "_blocks")
+
+
+def mergeable_pairs(centroids: DataFrame, threshold: float, limit: int = 50, block: int = BLOCK) -> DataFrame:
+    """(a, b, distance): the closest pairs of active centroids of one combination below a threshold.
+
+    Blocks of centroids are compared by a product of matrices; of each only its
+    closest pairs are kept, as many as are asked for.
+    """
+    keys = ["plugin_type", "model_id", "dim"]
+    own = active(centroids).select("id", *keys, "centroid")
+
+    def closest(rows: pd.DataFrame) -> pd.DataFrame:
+        sides = [rows[rows["first"]].sort_values("id"), rows[~rows["first"]].sort_values("id")]
+        names = [side["id"].to_numpy() for side in sides]
+        vectors = [np.stack(side["centroid"].to_list()).astype(np.float64) for side in sides]
+        gap = cosine_distances(*vectors)
+        gap[names[0][:, None] >= names[1][None, :] if rows["row"].iloc[0] == rows["col"].iloc[0] else np.zeros(gap.shape, dtype=bool)] = np.inf
+        near = np.flatnonzero(gap.ravel() < threshold)
+        if len(near) > limit:  # with all that tie with the last
+            near = near[gap.ravel()[near] <= np.partition(gap.ravel()[near], limit - 1)[limit - 1]]
+        i, j = np.unravel_index(near, gap.shape)
+        x, y = names[0][i], names[1][j]
+        return pd.DataFrame({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x), "distance": gap[i, j]})
+
+    kind = centroids.schema["id"].dataType.simpleString()
+    pairs = block_pairs(own, keys, block).groupBy(*keys, "row", "col").applyInPandas(closest, f"a {kind}, b {kind}, distance double")
+    return pairs.orderBy("distance", "a", "b").limit(limit)
+
+
+def nearest_distances(embeddings: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(plugin_type, model_id, id, distance) of every vector to the nearest other of its combination and dimension."""
+    keys = ["plugin_type", "model_id", "dim"]
+    own = embeddings.withColumn("dim", F.size("embedding")).select("id", *keys, "embedding")
+    kind = embeddings.schema["id"].dataType.simpleString()
+
+    def closest(rows: pd.DataFrame) -> pd.DataFrame:
+        sides = [rows[rows["first"]], rows[~rows["first"]]]
+        names = [side["id"].to_numpy() for side in sides]
+        gap = cosine_distances(*(np.stack(side["embedding"].to_list()).astype(np.float64) for side in sides))
+        gap[names[0][:, None] == names[1][None, :]] = np.inf
+        found = pd.DataFrame({"id": np.concatenate(names), "distance": np.concatenate([gap.min(1), gap.min(0)])})
+        found = found[np.isfinite(found["distance"])]
+        return found.assign(plugin_type=rows["plugin_type"].iloc[0], model_id=rows["model_id"].iloc[0])[["plugin_type", "model_id", "id", "distance"]]
+
+    parts = block_pairs(own, keys, block).groupBy(*keys, "row", "col").applyInPandas(closest, f"plugin_type string, model_id string, id {kind}, distance double")
+    return parts.groupBy("plugin_type", "model_id", "id").agg(F.min("distance").alias("distance"))
+
+
+def cosine_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Between all rows of two matrices, 1 where it is undefined."""
+    lengths = [np.sqrt((m * m).sum(1)) for m in (x, y)]
+    whole = lengths[0][:, None] * lengths[1][None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(whole == 0, 1.0, np.clip(1 - (x @ y.T) / whole, 0.0, 2.0))

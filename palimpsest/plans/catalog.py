@@ -12,7 +12,7 @@ from palimpsest.functions import code, text as fn, vector
 from palimpsest.operators import aggregates, blobs as bl, cluster, fulltext, lexical, quality, scans, search, tree, versions as ve
 from palimpsest.plans import mapping as m
 from palimpsest.plans.mapping import BLOBS, CENTROIDS, EMBEDDINGS, INODES, QUERY, VERSIONS, with_sql
-from palimpsest.session import ship, table
+from palimpsest.session import new_folder, ship, table, written
 from palimpsest.streaming import queue
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -472,23 +472,41 @@ def _(spark, d):
 # clustering
 
 
-@registered("cl01_consolidate")
+def _by_definition(spark, d, state):
+    """Whether counts, means and spreads of active centroids are those of the members told, and how many members there are."""
+    live = cluster.centroids_of(state).where("is_active").select("id", "plugin_type", "centroid", "m2", "member_count")
+    vectors = m.embeddings(spark, d).select(F.col("id").cast("string").alias("member_id"), "embedding")
+    flat = cluster.members_of(state).join(vectors, "member_id").select(F.col("centroid_id").alias("id"), F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
+    by_place = flat.groupBy("id", "pos").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("*")).alias("spread"))
+    told = by_place.groupBy("id").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda p: p["mean"]).alias("mean"), F.sum("spread").alias("spread"))
+    gap = F.aggregate(F.zip_with("mean", "centroid", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: F.greatest(a, b))
+    both = live.join(told, "id", "left")
+    return both.groupBy("plugin_type").agg(
+        F.sum("member_count").alias("members"),
+        F.every(F.coalesce(F.col("n") == F.col("member_count"), F.lit(False))).alias("counts_right"),
+        F.every(F.coalesce(gap < 1e-4, F.lit(False))).alias("means_right"),
+        F.every(F.coalesce(F.abs(F.col("spread") - F.col("m2")) < 1e-2, F.lit(False))).alias("spreads_right"),
+    )
+
+
+_CLAIMED = "SELECT plugin_type, least(count(*), 25) AS members, TRUE AS counts_right, TRUE AS means_right, TRUE AS spreads_right FROM emb WHERE NOT consolidated AND CAST(substring(plugin_type, 2) AS INTEGER) % 2 = 0 GROUP BY plugin_type"
+
+
+@registered("cl01_consolidate", EMBEDDINGS, sql=_CLAIMED)
 def _(spark, d):
     state = cluster.consolidate_batch(m.embeddings(spark, d), m.thresholds(spark, d), cluster.empty_state(spark))
-    return cluster.centroids_of(state).select("id", "plugin_type", F.size("centroid").alias("dim"), F.round("m2", 4).alias("m2"), "member_count", "is_active")
+    return _by_definition(spark, d, written(state, new_folder(spark, "state")))
 
 
-@registered("cl07_merge")
+@registered("cl07_merge", EMBEDDINGS, sql=_CLAIMED)
 def _(spark, d):
-    state = cluster.consolidate_batch(m.embeddings(spark, d), m.thresholds(spark, d), cluster.empty_state(spark))
-    return cluster.centroids_of(cluster.merge_centroids(state, 1.0)).select("id", "plugin_type", "member_count", "is_active", "merged_into")
+    state = written(cluster.consolidate_batch(m.embeddings(spark, d), m.thresholds(spark, d), cluster.empty_state(spark)), new_folder(spark, "state"))
+    return _by_definition(spark, d, written(cluster.merge_centroids(state, 1.0), new_folder(spark, "state")))
 
 
 @registered("cl12_calibrate", EMBEDDINGS, sql="SELECT a.plugin_type, 'm' AS model_id, round(quantile_cont(d, 0.15), 5) AS join_threshold FROM (SELECT a.plugin_type, a.id, min(1 - list_cosine_similarity(a.embedding, b.embedding)) AS d FROM emb a JOIN emb b ON a.plugin_type = b.plugin_type AND a.id <> b.id GROUP BY a.plugin_type, a.id) a GROUP BY a.plugin_type")
 def _(spark, d):
-    e = m.embeddings(spark, d).select("id", "plugin_type", "model_id", "embedding")
-    other = e.select(F.col("id").alias("o"), "plugin_type", F.col("embedding").alias("v"))
-    near = e.join(other, "plugin_type").where("id <> o").groupBy("plugin_type", "model_id", "id").agg(F.min(vector.cosine_distance(F.col("embedding"), F.col("v"))).alias("distance"))
+    near = search.nearest_distances(m.embeddings(spark, d))
     return cluster.calibrate_percentile(near, 0.15).withColumn("join_threshold", F.round("join_threshold", 5))
 
 
@@ -506,7 +524,11 @@ def _(spark, d):
     return docs.select("doc_id", (fn.decompress(fn.compress(F.col("b"))) == F.col("b")).alias("same"))
 
 
-@registered("fn04_content_id")
+_CID = """h AS (SELECT doc_id, strlen(text) AS n, '01551220' || sha256(text) AS x FROM documents),
+b AS (SELECT doc_id, n, list_aggregate(list_transform(range(1, length(x) + 1), lambda i: right(bin(strpos('0123456789abcdef', x[i]) + 15), 4)), 'string_agg', '') || '00' AS bits FROM h)"""
+
+
+@registered("fn04_content_id", _CID, sql="SELECT doc_id, CASE WHEN n < 262144 THEN 'b' || list_aggregate(list_transform(range(0, 58), lambda i: substring('abcdefghijklmnopqrstuvwxyz234567', 1 + 16 * CAST(bits[5 * i + 1] AS INTEGER) + 8 * CAST(bits[5 * i + 2] AS INTEGER) + 4 * CAST(bits[5 * i + 3] AS INTEGER) + 2 * CAST(bits[5 * i + 4] AS INTEGER) + CAST(bits[5 * i + 5] AS INTEGER), 1)), 'string_agg', '') END AS cid FROM b")
 def _(spark, d):
     docs = table(spark, d, "documents")
     return docs.select("doc_id", fn.content_id(fn.content_hash(F.col("text")), F.octet_length("text")).alias("cid"))
@@ -537,10 +559,17 @@ def _(spark, d):
     return rows.select("doc_id", "b.kind", "b.name", "b.start_line", "b.end_line")
 
 
-@registered("fn13_test_embedding")
+_DRAWS = """t AS (SELECT item_id, i, sha256(unhex(sha256(text)) || unhex(printf('%02x000000', i))) AS h FROM benchmark, range(0, 16) AS r(i)),
+w AS (SELECT item_id, i, list_sum(list_transform(range(0, 8), lambda k: (strpos('0123456789abcdef', h[k + 1]) - 1) * CAST(pow(16, CASE WHEN k % 2 = 0 THEN k + 1 ELSE k - 1 END) AS BIGINT))) AS draw FROM t)"""
+
+
+@registered("fn13_test_embedding", _DRAWS, sql="SELECT item_id, 1.0 AS norm, CAST(count(*) FILTER (WHERE draw * 2 > 4294967295) AS INTEGER) AS positive, arg_max(i, draw) AS largest, arg_min(i, draw) AS smallest FROM w GROUP BY item_id")
 def _(spark, d):
+    """The norm of each vector, how many components are positive, and where the largest and the smallest lie."""
     v = fn.test_embedding(F.col("text"), F.lit(16))
-    return table(spark, d, "benchmark").select("item_id", F.round(vector.norm(v), 4).alias("norm"))
+    made = table(spark, d, "benchmark").select("item_id", v.alias("v"))
+    place = lambda x: (F.array_position("v", x) - 1).cast("long")
+    return made.select("item_id", F.round(vector.norm(F.col("v")), 4).alias("norm"), F.size(F.filter("v", lambda x: x > 0)).alias("positive"), place(F.array_max("v")).alias("largest"), place(F.array_min("v")).alias("smallest"))
 
 
 @registered("fn15_search_text", sql="SELECT event_id, 'k' || event_type AS search_text FROM events")
@@ -650,5 +679,4 @@ _rule("dq09_desync", lambda s, d: quality.current_blob_desync(table(s, d, "custo
 _rule("dq10_orphans", lambda s, d: quality.orphan_blobs(m.versions(s, d), m.blobs(s, d)), BLOBS, VERSIONS, sql="SELECT 'I3.orphan_blobs_INFO' AS rule, count(*) AS violations, '' AS detail FROM blobs WHERE content_hash NOT IN (SELECT content_hash FROM fv) HAVING count(*) > 0")
 _rule("dq11_schema", lambda s, d: quality.schema_rules(s, {"blobs": m.blobs(s, d).withColumn("refcount", F.lit(1)), "file_versions": m.versions(s, d)}), sql="SELECT 'I4.missing_core_table' AS rule, 2 AS violations, 'inode_registry,storage_backends' AS detail UNION ALL SELECT 'I4.blobs_refcount_reintroduced', 1, 'blobs.refcount exists'")
 _rule("dq12_is_current", lambda s, d: quality.multiple_is_current(m.embeddings(s, d).withColumn("id", F.col("id") - (F.col("id") % 90 == 1).cast("int"))), sql=_ROW.format(rule="FIX02.multiple_is_current", detail="id", bad="SELECT vec_id - 1 AS id FROM embeddings WHERE vec_id % 90 = 1"))
-_rule("dq13_stuck", lambda s, d: quality.stuck_processing(m.versions(s, d).where("inode_id < 20"), NOW), VERSIONS, sql=_ROW.format(rule="PIPE.stuck_processing", detail="id", bad="SELECT id FROM fv WHERE inode_id < 20 AND status = 'processing' AND created_at < TIMESTAMP '2024-01-20' - INTERVAL 10 MINUTE"))
-_rule("dq13_all_stuck", lambda s, d: quality.stuck_processing(m.versions(s, d), NOW), VERSIONS, sql=_ROW.format(rule="PIPE.stuck_processing", detail="id", bad="SELECT id FROM fv WHERE status = 'processing' AND created_at < TIMESTAMP '2024-01-20' - INTERVAL 10 MINUTE"))
+_rule("dq13_stuck", lambda s, d: quality.stuck_processing(m.versions(s, d), NOW), VERSIONS, sql=_ROW.format(rule="PIPE.stuck_processing", detail="id", bad="SELECT id FROM fv WHERE status = 'processing' AND created_at < TIMESTAMP '2024-01-20' - INTERVAL 10 MINUTE"))

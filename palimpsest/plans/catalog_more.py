@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import os
 import tempfile
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest import schema
@@ -15,19 +14,11 @@ from palimpsest.operators import aggregates, blobs as bl, cluster, fulltext, lex
 from palimpsest.plans import mapping as m
 from palimpsest.plans.catalog import registered
 from palimpsest.plans.mapping import BLOBS, EMBEDDINGS, INODES, QUERY, VERSIONS
-from palimpsest.session import table
+from palimpsest.session import new_folder, table
 from palimpsest.sources import documents, stores
 from palimpsest.streaming import consolidate, queue
 
 
-def _folder(spark, name: str) -> str:
-    """A new folder that executors share, where the session names one."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"palimpsest-{name}-") + "/d"
-
-
 # sources
 
 
@@ -52,8 +43,8 @@ def _(spark, d):
 
 @registered("sc22_import_indexed")
 def _(spark, d):
-    files = stores.read_directory(spark, f"{d}/region.parquet")
-    return stores.import_indexed(files).select("name", "size", "content_hash", F.col("blob_id").isNull().alias("in_place"))
+    """All files of the folder of tables, hashed where they are."""
+    return stores.import_indexed(stores.read_directory(spark, d)).select("name", "size", "content_hash", F.col("blob_id").isNull().alias("in_place"))
 
 
 @registered("sc22_import_copied", sql="SELECT doc_id AS id, sha256(text) AS content_hash, CAST(min(doc_id) OVER (PARTITION BY sha256(text)) AS VARCHAR) AS blob_id, doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) AS stored FROM documents")
@@ -64,10 +55,10 @@ def _(spark, d):
     return told.join(packed, "id").select("id", "content_hash", F.col("canonical_id").cast("string").alias("blob_id"), F.when(F.col("inserted"), F.col("stored")).isNotNull().alias("stored"))
 
 
-@registered("sc23_sc24_markers", VERSIONS, sql="SELECT id AS seq, CAST(inode_id AS VARCHAR) AS inode_id, content_hash FROM fv WHERE inode_id < 5")
+@registered("sc23_sc24_markers", VERSIONS, sql="SELECT id AS seq, CAST(inode_id AS VARCHAR) AS inode_id, content_hash FROM fv")
 def _(spark, d):
-    rows = m.versions(spark, d).where("inode_id < 5").select(F.col("id").alias("seq"), F.col("inode_id").cast("string"), F.col("id").cast("string").alias("version_id"), "content_hash", "size")
-    path = _folder(spark, "markers")
+    rows = m.versions(spark, d).select(F.col("id").alias("seq"), F.col("inode_id").cast("string"), F.col("id").cast("string").alias("version_id"), "content_hash", "size")
+    path = new_folder(spark, "markers")
     queue_rows = schema.conform(rows, "pending_markers")
     documents.write_markers(queue_rows, path)
     return spark.read.schema(schema.schema_of("pending_markers")).json(path).select("seq", "inode_id", "content_hash")
@@ -75,7 +66,7 @@ def _(spark, d):
 
 @registered("sc25_wordnet", sql="SELECT lower(n_name) AS lemma, 'n' AS pos, 'en' AS language FROM nation")
 def _(spark, d):
-    path = _folder(spark, "wordnet")
+    path = new_folder(spark, "wordnet")
     nodes = F.collect_list(F.struct(F.lower("n_name").alias("lemma"), F.lit("n").alias("pos"), F.lit(None).cast("string").alias("external_ref")))
     table(spark, d, "nation").agg(nodes.alias("nodes")).select(F.lit("en").alias("language"), "nodes", F.expr("cast(array() as array<struct<`from`:string,`to`:string,relation:string>>)").alias("edges")).write.json(path)
     return documents.read_wordnet(spark, path)[0].select("lemma", "pos", "language")
@@ -179,10 +170,13 @@ def _(spark, d):
 # search tools
 
 
-@registered("tk05_merge_hits", EMBEDDINGS, QUERY, "a AS (SELECT id, round(1 - list_cosine_similarity(embedding, v), 6) AS distance FROM emb, q ORDER BY 1 - list_cosine_similarity(embedding, v), id LIMIT 15)", sql="SELECT id, distance, 'crystallised' AS source FROM a ORDER BY distance, id LIMIT 10")
+@registered("tk05_merge_hits", EMBEDDINGS, QUERY, "near AS (SELECT id, consolidated, 1 - list_cosine_similarity(embedding, v) AS d FROM emb, q), old AS (SELECT id, d FROM near WHERE consolidated ORDER BY d, id LIMIT 15), new AS (SELECT id, d FROM near WHERE NOT consolidated OR id % 2 = 0 ORDER BY d, id LIMIT 15)", sql="SELECT id, round(min(d), 6) AS distance, CASE WHEN bool_or(s = 0) THEN 'crystallised' ELSE 'buffered' END AS source FROM (SELECT id, d, 0 AS s FROM old UNION ALL SELECT id, d, 1 FROM new) GROUP BY id ORDER BY min(d), id LIMIT 10")
 def _(spark, d):
-    hits = search.nearest(m.embeddings(spark, d), m.query_vector(spark, d), 15).select("id", F.round("distance", 6).alias("distance"))
-    return search.merge_hits(hits, hits, 10)
+    """Hits of the consolidated vectors and of the others, some in both lists."""
+    e, v = m.embeddings(spark, d), m.query_vector(spark, d)
+    old = search.nearest(e.where("consolidated"), v, 15)
+    new = search.nearest(e.where("not consolidated or id % 2 = 0"), v, 15)
+    return search.merge_hits(old, new, 10).withColumn("distance", F.round("distance", 6))
 
 
 @registered("sr05_search_semantic", EMBEDDINGS, QUERY, sql="SELECT id, round(1 - list_cosine_similarity(embedding, v), 6) AS distance FROM emb, q WHERE plugin_type = 't2' ORDER BY 1 - list_cosine_similarity(embedding, v), id LIMIT 10")
@@ -268,10 +262,32 @@ def _(spark, d):
     return cluster.buffered_after(e, state).where("not consolidated").groupBy("plugin_type").agg(F.count("*").alias("waiting"))
 
 
-@registered("cl10_due", EMBEDDINGS, sql="SELECT plugin_type, count(*) AS backlog FROM emb WHERE NOT consolidated AND CAST(substring(plugin_type, 2) AS INTEGER) % 2 = 0 GROUP BY plugin_type HAVING count(*) >= 5")
+@registered("cl10_due", EMBEDDINGS, "b AS (SELECT plugin_type, CAST(substring(plugin_type, 2) AS INTEGER) AS t, count(*) FILTER (WHERE NOT consolidated) AS backlog FROM emb GROUP BY plugin_type)", sql="SELECT plugin_type, after FROM b, (VALUES (0), (100), (1000)) AS w(after) WHERE t % 2 = 0 AND (backlog >= CASE WHEN t % 4 = 0 THEN 5 ELSE 1000000 END OR after >= 1000 OR (backlog > 0 AND after >= 100))")
 def _(spark, d):
-    report = aggregates.concepts_report(m.thresholds(spark, d), m.embeddings(spark, d))
-    return report.where(F.col("backlog") >= F.col("backlog_threshold")).select("plugin_type", "backlog")
+    """Combinations that are due at once (a long backlog), after an idle time, and after the longest wait."""
+    e = m.embeddings(spark, d)
+    limits = m.thresholds(spark, d).withColumns({"backlog_threshold": F.when(F.substring("plugin_type", 2, 9).cast("int") % 4 == 0, 5).otherwise(1_000_000).cast("long"), "idle_before_sleep_secs": F.lit(100), "max_wait_secs": F.lit(1000)})
+    now = [0.0]
+    watch = consolidate.Supervisor(lambda: limits, lambda: now[0])
+    rows = []
+    for now[0] in (0.0, 100.0, 1000.0):
+        rows += [(plugin_type, int(now[0])) for plugin_type, _ in watch.due(e)]
+    return spark.createDataFrame(rows, "plugin_type string, after int")
+
+
+@registered("cl11_supervised", EMBEDDINGS, "b AS (SELECT plugin_type, count(*) AS backlog FROM emb WHERE NOT consolidated AND CAST(substring(plugin_type, 2) AS INTEGER) % 2 = 0 GROUP BY plugin_type)", sql="SELECT plugin_type, CAST(ceil(backlog / 25) AS BIGINT) AS cycles, backlog AS members FROM b")
+def _(spark, d):
+    """Cycles until no calibrated combination is due: each takes its batches of 25, until none waits."""
+    e, now = m.embeddings(spark, d), [0.0]
+    limits = m.thresholds(spark, d).withColumns({"backlog_threshold": F.lit(1).cast("long"), "batch_size": F.lit(25)})
+    watch, state = consolidate.Supervisor(lambda: limits, lambda: now[0]), cluster.empty_state(spark)
+    while True:
+        state, ran = watch.cycle(cluster.buffered_after(e, state), state)
+        if not ran:
+            break
+    members = cluster.members_of(state).join(cluster.centroids_of(state).select(F.col("id").alias("centroid_id"), "plugin_type"), "centroid_id").groupBy("plugin_type").agg(F.count("*").alias("members"))
+    cycles = spark.createDataFrame([(k[0], n) for k, n in watch.cycles.items()], "plugin_type string, cycles long")
+    return cycles.join(members, "plugin_type").select("plugin_type", "cycles", "members")
 
 
 @registered("cl12_set_threshold", EMBEDDINGS, sql="SELECT DISTINCT plugin_type, CASE WHEN plugin_type = 't2' THEN 0.42 ELSE 0.8 END AS join_threshold FROM emb WHERE CAST(substring(plugin_type, 2) AS INTEGER) % 2 = 0 UNION ALL SELECT 'fresh', 0.1")
@@ -379,24 +395,10 @@ def _(spark, d):
 # queue, worker and streams
 
 
-@registered("st01_st06_stream", VERSIONS, sql="SELECT CAST(id AS VARCHAR) AS id, CAST(inode_id AS VARCHAR) AS inode_id, CAST(row_number() OVER (PARTITION BY inode_id ORDER BY id) AS INTEGER) AS version_number FROM fv WHERE inode_id BETWEEN 1 AND 20")
-def _(spark, d):
-    files = spark.range(1, 21).select(F.col("id").cast("string"))
-    rows = m.versions(spark, d).where("inode_id between 1 and 20").select(F.col("id").alias("seq"), F.col("inode_id").cast("string"), F.col("id").cast("string").alias("version_id"), "content_hash", "size")
-    base = _folder(spark, "queue")
-    documents.write_markers(schema.conform(rows, "pending_markers").repartition(1), f"{base}/in")
-    log = queue.CommitLog(spark, f"{base}/log", files)
-    queue.drain(log, queue.stream_markers(spark, f"{base}/in"), f"{base}/cp").awaitTermination()
-    documents.write_markers(schema.conform(rows.where("seq % 2 = 0"), "pending_markers"), f"{base}/in")  # queued again: nothing is committed twice
-    queue.drain(log, queue.stream_markers(spark, f"{base}/in"), f"{base}/cp").awaitTermination()
-    return log.versions().select("id", "inode_id", "version_number")
-
-
-@registered("st01_all_stream", VERSIONS, sql="SELECT CAST(id AS VARCHAR) AS id, CAST(inode_id AS VARCHAR) AS inode_id, CAST(row_number() OVER (PARTITION BY inode_id ORDER BY id) AS INTEGER) AS version_number FROM fv")
+@registered("st01_st06_stream", VERSIONS, sql="SELECT CAST(id AS VARCHAR) AS id, CAST(inode_id AS VARCHAR) AS inode_id, CAST(row_number() OVER (PARTITION BY inode_id ORDER BY id) AS INTEGER) AS version_number FROM fv")
 def _(spark, d):
-    """st01_st06_stream over the versions of every file."""
     rows = m.versions(spark, d).select(F.col("id").alias("seq"), F.col("inode_id").cast("string"), F.col("id").cast("string").alias("version_id"), "content_hash", "size")
-    base = _folder(spark, "queue")
+    base = new_folder(spark, "queue")
     documents.write_markers(schema.conform(rows, "pending_markers"), f"{base}/in")
     log = queue.CommitLog(spark, f"{base}/log", rows.select(F.col("inode_id").alias("id")).distinct())
     queue.drain(log, queue.stream_markers(spark, f"{base}/in"), f"{base}/cp").awaitTermination()
@@ -405,11 +407,14 @@ def _(spark, d):
     return log.versions().select("id", "inode_id", "version_number")
 
 
-@registered("st04_idempotent", VERSIONS, sql="SELECT count(*) AS added FROM fv WHERE FALSE")
+@registered("st04_idempotent", VERSIONS, sql="SELECT id, CAST(row_number() OVER (PARTITION BY inode_id ORDER BY id) + count(*) FILTER (WHERE id % 2 = 1) OVER (PARTITION BY inode_id) - count(*) FILTER (WHERE id % 2 = 1) OVER (PARTITION BY inode_id ORDER BY id) AS INTEGER) AS version_number FROM fv QUALIFY id % 2 = 0")
 def _(spark, d):
+    """All versions are replayed, twice each, where every other one is committed: the rest is added once, after the last."""
     v = m.versions(spark, d)
-    files = v.select(F.col("inode_id").alias("id")).distinct()
-    return ve.commit(files, v, v.select(F.col("id").alias("seq"), "id", "inode_id"))[0].agg(F.count("*").alias("added"))
+    order = Window.partitionBy("inode_id").orderBy("id")
+    known = v.where("id % 2 = 1").withColumn("version_number", F.row_number().over(order))
+    incoming = v.select(F.col("id").alias("seq"), "id", "inode_id")
+    return ve.commit(v.select(F.col("inode_id").alias("id")).distinct(), known, incoming.union(incoming))[0].select("id", "version_number")
 
 
 @registered("st11_embed", sql="SELECT CAST(doc_id AS VARCHAR) AS id, 'm' AS model_id, 8 AS dim FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT 'b' || doc_id, 'code', 16 FROM documents WHERE doc_id % 10 = 0")
@@ -446,26 +451,33 @@ def _(spark, d):
     return ve.revert_stuck(m.versions(spark, d), datetime(2024, 1, 20)).select("id", "status")
 
 
-@registered("st17_write")
+@registered("st17_write", sql="SELECT item_id AS id, CAST(row_number() OVER (PARTITION BY item_id % 7 ORDER BY item_id) AS INTEGER) AS version_number, sha256(text) AS content_hash, CAST(strlen(text) AS BIGINT) AS size, min(item_id) OVER (PARTITION BY sha256(text)) AS blob_id, CASE WHEN item_id % 3 = 0 THEN 'syntax_error' ELSE 'generic' END AS special_type FROM benchmark")
 def _(spark, d):
-    import zstandard
+    """A write of every item: hashed, deduplicated, compressed, noted where its syntax is wrong, and committed in order."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text", F.when(F.col("item_id") % 3 == 0, "fn broken( {").otherwise("fn a() {}").alias("code"))
+    told = bl.dedup_contents(items, "id", "text").select("id", F.col("canonical_id").alias("blob_id"))
+    packed = bl.pack(items, "id", "text").where("compressed_size > 0").select("id", "content_hash", "size", "compressed_size")
+    noted = items.select("id", code.syntax_problem("code", F.lit("rust")).alias("note"))
+    kind = F.when(F.col("note").isNotNull(), "syntax_error").otherwise("generic")
+    rows = packed.join(told, "id").join(noted, "id").select(F.col("id").alias("seq"), "id", (F.col("id") % 7).alias("inode_id"), "content_hash", "size", "blob_id", kind.alias("special_type"))
+    none = spark.createDataFrame([], "id long, inode_id long, version_number int, content_hash string")
+    new, _ = ve.commit(spark.range(7), none, rows)
+    return new.select("id", "version_number", "content_hash", "size", "blob_id", "special_type")
 
-    with tempfile.TemporaryDirectory() as folder:
-        store = stores.LocalStore(os.path.join(folder, "blobs"))
-        made = [queue.submit("f", n, "f.rs", data, store, status_note=note) for n, (data, note) in enumerate([(b"fn a() {}", None), (b"fn a() {}", None), (b"fn a( {", code.syntax_error("fn a( {", "rust"))], 1)]
-        kept = [zstandard.ZstdDecompressor().decompress(store.get(r["blob_id"])) for r in made]
-    rows = [(r["seq"], r["version_id"], r["inode_id"], r["content_hash"], r["size"], r["special_type"], json.dumps(len(k))) for r, k in zip(made, kept)]
-    return spark.createDataFrame(rows, "seq long, version_id string, inode_id string, content_hash string, size long, special_type string, stored string")
 
-
-@registered("cl01_stream")
+@registered("cl01_stream", EMBEDDINGS, sql="SELECT plugin_type, count(*) AS offered, count(*) FILTER (WHERE CAST(substring(plugin_type, 2) AS INTEGER) % 2 = 0) AS members, count(*) FILTER (WHERE CAST(substring(plugin_type, 2) AS INTEGER) % 2 = 1) AS waiting FROM emb GROUP BY plugin_type")
 def _(spark, d):
-    base = _folder(spark, "consolidate")
-    m.embeddings(spark, d).where("plugin_type = 't2'").repartition(2).write.parquet(f"{base}/in")
+    """Every vector arrives in a stream; those of calibrated types all become members, the others wait."""
+    base, e = new_folder(spark, "consolidate"), m.embeddings(spark, d)
+    e.repartition(3).write.parquet(f"{base}/in")
     log = consolidate.ConsolidationLog(spark, f"{base}/state", m.thresholds(spark, d))
-    arriving = spark.readStream.schema(m.embeddings(spark, d).schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    arriving = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     consolidate.consolidate_stream(log, arriving, f"{base}/cp").awaitTermination()
-    return cluster.centroids_of(log.state()).select("plugin_type", "member_count", "is_active")
+    kept = consolidate.ConsolidationLog(spark, f"{base}/state", m.thresholds(spark, d))  # as after a restart
+    members = cluster.centroids_of(kept.state()).where("is_active").groupBy("plugin_type").agg(F.sum("member_count").alias("members"))
+    waiting = kept.waiting(e.schema).groupBy("plugin_type").agg(F.count("*").alias("waiting"))
+    found = members.join(waiting, "plugin_type", "full_outer").na.fill(0)
+    return found.select("plugin_type", (F.col("members") + F.col("waiting")).alias("offered"), "members", "waiting")
 
 
 # lexical graph and symbols
@@ -555,21 +567,10 @@ def _(spark, d):
     return nodes.join(v, "version_id").select("id", "quality")
 
 
-@registered("st07_rate_limit", VERSIONS, sql="SELECT count(*) AS n, count(DISTINCT content_hash) AS hashes FROM fv WHERE inode_id < 4")
-def _(spark, d):
-    rows = m.versions(spark, d).where("inode_id < 4").select(F.col("id").alias("seq"), F.col("inode_id").cast("string"), F.col("id").cast("string").alias("version_id"), "content_hash", "size")
-    base = _folder(spark, "limited")
-    documents.write_markers(schema.conform(rows, "pending_markers").repartition(3), f"{base}/in")
-    slow = queue.stream_markers(spark, f"{base}/in", files_per_trigger=1)  # held back, none refused
-    slow.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(slow.schema).parquet(f"{base}/out").agg(F.count("*").alias("n"), F.countDistinct("content_hash").alias("hashes"))
-
-
-@registered("st07_all_rate_limit", VERSIONS, sql="SELECT count(*) AS n, count(DISTINCT content_hash) AS hashes FROM fv")
+@registered("st07_rate_limit", VERSIONS, sql="SELECT count(*) AS n, count(DISTINCT content_hash) AS hashes FROM fv")
 def _(spark, d):
-    """st07_rate_limit over the versions of every file."""
     rows = m.versions(spark, d).select(F.col("id").alias("seq"), F.col("inode_id").cast("string"), F.col("id").cast("string").alias("version_id"), "content_hash", "size")
-    base = _folder(spark, "limited")
+    base = new_folder(spark, "limited")
     documents.write_markers(schema.conform(rows, "pending_markers").repartition(3), f"{base}/in")
     slow = queue.stream_markers(spark, f"{base}/in", files_per_trigger=1)  # held back, none refused
     slow.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start().awaitTermination()
@@ -590,8 +591,55 @@ def _(spark, d):
     return scans.newest_by_hash(m.versions(spark, d), hashlib.sha256(b"c11").hexdigest()).select("id")
 
 
-@registered("ud04_tools", sql="SELECT 15 AS tools")
+# The tools and their arguments.
+_TOOLS = """('delete_file', 'path', 'string', TRUE), ('delete_file', 'confirmation_token', 'string', FALSE), ('describe_plugin_type', 'plugin_type', 'string', TRUE), ('diff_functions', 'path', 'string', TRUE), ('diff_functions', 'v1', 'integer', TRUE), ('diff_functions', 'v2', 'integer', TRUE), ('find_broken_files', '', '', FALSE), ('find_by_hash', 'content_hash', 'string', TRUE), ('get_actor_activity', 'actor_id', 'string', TRUE), ('get_actor_activity', 'since', 'string', FALSE), ('get_actor_activity', 'limit', 'integer', FALSE), ('get_file_content', 'path', 'string', TRUE), ('get_file_content', 'version', 'integer', FALSE), ('get_file_history', 'path', 'string', TRUE), ('list_plugin_types', '', '', FALSE), ('overwrite_file', 'path', 'string', TRUE), ('overwrite_file', 'content', 'string', TRUE), ('overwrite_file', 'confirmation_token', 'string', FALSE), ('query_by_metadata', 'filter', 'object', TRUE), ('search_by_concept', 'query', 'string', FALSE), ('search_by_concept', 'query_vector', 'array', FALSE), ('search_by_concept', 'plugin_type', 'string', FALSE), ('search_by_concept', 'model_id', 'string', FALSE), ('search_by_concept', 'limit', 'integer', FALSE), ('search_fulltext', 'query', 'string', TRUE), ('search_fulltext', 'plugin_type', 'string', FALSE), ('search_fulltext', 'limit', 'integer', FALSE), ('search_functions', 'query', 'string', FALSE), ('search_functions', 'query_vector', 'array', FALSE), ('search_functions', 'language', 'string', FALSE), ('search_functions', 'kind', 'string', FALSE), ('search_functions', 'limit', 'integer', FALSE), ('search_semantic', 'query', 'string', FALSE), ('search_semantic', 'query_vector', 'array', FALSE), ('search_semantic', 'model_id', 'string', FALSE), ('search_semantic', 'limit', 'integer', FALSE), ('search_semantic', 'type_filter', 'string', FALSE)"""
+
+
+@registered("ud04_tools", sql=f"SELECT * FROM (VALUES {_TOOLS}) AS t(tool, argument, type, required)")
+def _(spark, d):
+    from palimpsest.tools import standard_tools
+
+    rows = []
+    for tool in standard_tools(spark, {}).listed():
+        own = tool["inputSchema"]
+        rows += [(tool["name"], name, kind["type"], name in own["required"]) for name, kind in own["properties"].items()] or [(tool["name"], "", "", False)]
+    return spark.createDataFrame(rows, "tool string, argument string, type string, required boolean")
+
+
+def _catalogue(spark, d):
+    """Files under nations under regions, each with a version."""
+    files = schema.conform(m.inodes(spark, d).select("id", "ino", "parent_id", "name", "is_dir"), "inode_registry")
+    v = files.where("not is_dir").select(F.concat(F.lit("v"), "id").alias("id"), F.col("id").alias("inode_id"), F.lit(1).alias("version_number"), F.sha2("name", 256).alias("content_hash"))
+    return {"inode_registry": files, "file_versions": schema.conform(v, "file_versions")}
+
+
+@registered("st18_confirmed_delete", sql="SELECT CAST(n_nationkey AS BIGINT) AS nation, count(c_custkey) AS versions FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey <> 2 GROUP BY n_nationkey")
 def _(spark, d):
+    """A region is deleted by the tool, with a token; what is left of its nations' files and versions."""
     from palimpsest.tools import standard_tools
 
-    return spark.createDataFrame([(len(standard_tools(spark, {}).listed()),)], "tools int")
+    t = _catalogue(spark, d)
+    tools = standard_tools(spark, t)
+    path = "/" + table(spark, d, "region").where("r_regionkey = 2").first().r_name
+    asked = tools.call("delete_file", path=path)
+    tools.call("delete_file", path=path, confirmation_token=asked["confirmation_token"])
+    files, v = t["inode_registry"], t["file_versions"].select(F.col("inode_id").alias("id"), F.lit(1).alias("one"))
+    nations = files.where("is_dir and id like 'n%'").select(F.col("id").alias("parent_id"), F.substring("id", 2, 20).try_cast("long").alias("nation"))
+    own = files.where("not is_dir").select("id", "parent_id").join(v, "id", "left")
+    return nations.join(own, "parent_id", "left").groupBy("nation").agg(F.count("one").alias("versions"))
+
+
+@registered("st18_confirmed_overwrite", sql="SELECT c_custkey AS id, 1 AS version_number, sha256(c_name) AS content_hash, c_custkey <> 3 AS is_current FROM customer UNION ALL SELECT 3, 2, sha256('new words'), TRUE")
+def _(spark, d):
+    """A file is overwritten by the tool, with a token."""
+    from palimpsest.tools import standard_tools
+
+    t = _catalogue(spark, d)
+    tools = standard_tools(spark, t, store=stores.LocalStore(tempfile.mkdtemp(prefix="palimpsest-store-")))
+    path = tree.with_paths(t["inode_registry"]).where("id = 'c3'").first().path
+    asked = tools.call("overwrite_file", path=path, content="new words")
+    tools.call("overwrite_file", path=path, content="other words", confirmation_token=asked["confirmation_token"])
+    v = ve.with_is_current(t["file_versions"])
+    return v.select(F.substring("inode_id", 2, 20).cast("long").alias("id"), "version_number", "content_hash", "is_current")
+
+

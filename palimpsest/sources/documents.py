@@ -14,9 +14,34 @@ WORDNET = "language string, nodes array<struct<lemma:string,pos:string,external_
 
 # The plugin types that are always there.
 BUILT_IN = {
-    "rust": {"type": "rust", "description": "Rust source code", "match_extensions": ["rs"], "ast": True},
-    "png": {"type": "png", "description": "PNG image", "match_extensions": ["png"], "ast": False},
-    "generic": {"type": "generic", "description": "Any file", "match_extensions": [], "ast": False},
+    "rust": {
+        "type": "rust",
+        "description": "Rust source code file containing compiled, memory-safe system-level code.",
+        "match_extensions": [".rs"],
+        "schema": {
+            "language": {"type": "string", "description": "Programming language identifier as detected by tree-sitter."},
+            "node_count": {"type": "integer", "description": "Total number of top-level AST nodes extracted from this file."},
+            "has_syntax_errors": {"type": "boolean", "description": "Whether tree-sitter detected any syntax errors during parsing."},
+            "has_unsafe": {"type": "boolean", "description": "Whether this file contains any unsafe blocks."},
+        },
+        "ast": True,
+        "embedding": {"model": "text-embedding-3-large", "dimensions": 1536, "description": "Semantic embedding of full source code, optimised for code similarity search."},
+    },
+    "png": {
+        "type": "png",
+        "description": "PNG image file containing raster graphics data with optional metadata.",
+        "match_extensions": [".png"],
+        "schema": {
+            "width": {"type": "integer", "description": "Image width in pixels."},
+            "height": {"type": "integer", "description": "Image height in pixels."},
+            "color_type": {"type": "string", "description": "Colour mode, e.g. RGBA, RGB, Greyscale."},
+            "has_alpha": {"type": "boolean", "description": "Whether image contains a transparency channel."},
+            "text_metadata": {"type": "object", "description": "Key-value pairs from PNG tEXt chunks, e.g. Software, Author."},
+        },
+        "ast": False,
+        "embedding": None,
+    },
+    "generic": {"type": "generic", "description": "Generic untyped file processed with default file-level embeddings.", "match_extensions": [], "schema": {}, "ast": False, "embedding": None},
 }
 
 
@@ -45,7 +70,7 @@ PLUGIN = "type string, description string, match_extensions array<string>, schem
 
 def list_plugin_types(spark: SparkSession, folder: str | None = None) -> DataFrame:
     """Plugin types by name; of a built-in name the built-in stands."""
-    own = spark.createDataFrame([(p["type"], p["description"], p["match_extensions"], None, p["ast"], None) for p in BUILT_IN.values()], PLUGIN)
+    own = spark.createDataFrame([(p["type"], p["description"], p["match_extensions"], json.dumps(p["schema"]), p["ast"], json.dumps(p["embedding"]) if p["embedding"] else None) for p in BUILT_IN.values()], PLUGIN)
     if folder is None:
         return own.orderBy("type")
     found = spark.read.schema(PLUGIN).option("multiLine", True).json(folder)

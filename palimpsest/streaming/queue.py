@@ -7,6 +7,11 @@ version id, so a batch that runs again adds nothing.
 
 from __future__ import annotations
 
+import threading
+import time
+from collections.abc import Callable
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -88,7 +93,80 @@ def drain(log: CommitLog, markers: DataFrame, checkpoint: str, once: bool = True
     return writer.start()
 
 
-def embed_due(backlog: int, oldest_seconds: float | None, quiet_seconds: float, debounce: float = 0.5, longest: float = 60.0, most: int = 1000) -> bool:
+class PendingQueueFull(RuntimeError):
+    """The queue stayed full for as long as a write may wait; nothing of the write was made durable."""
+
+
+class Gate:
+    """Admits writes to the queue, no more than ``most`` at once; a write that finds no place waits up to ``patience`` seconds."""
+
+    def __init__(self, most: int = 10_000, patience: float = 5.0):
+        self.most, self.patience, self._held, self._changed = most, patience, 0, threading.Condition()
+
+    @property
+    def depth(self) -> int:
+        return self._held
+
+    def admit(self) -> None:
+        with self._changed:
+            if not self._changed.wait_for(lambda: self._held < self.most, self.patience):
+                raise PendingQueueFull(f"{self._held} writes are queued")
+            self._held += 1
+
+    def release(self, places: int = 1) -> None:
+        with self._changed:
+            self._held = max(0, self._held - places)
+            self._changed.notify_all()
+
+
+def enqueue(gate: Gate, folder: str, markers: DataFrame) -> int:
+    """Make markers durable in the queue and return how many; a place is taken for each first, and given back if the write fails."""
+    from palimpsest.sources.documents import write_markers
+
+    taken = 0
+    try:
+        for _ in range(markers.count()):
+            gate.admit()
+            taken += 1
+        write_markers(markers, folder)
+    except BaseException:
+        gate.release(taken)
+        raise
+    return taken
+
+
+class EmbedWorker:
+    """Runs ``embed`` over pending versions when that is due; while writes go on, a forced run takes its first version without a pause.
+
+    ``embed(versions)`` returns (done ids, failed ids). Of the versions the driver
+    holds a count and an age.
+    """
+
+    def __init__(self, embed: Callable[[DataFrame], tuple[DataFrame, DataFrame]], batch: int = 50, clock: Callable[[], float] = time.monotonic):
+        self.embed, self.batch, self.clock, self.last_write = embed, batch, clock, float("-inf")
+
+    def written(self) -> None:
+        """A write came in: what isn't forced waits until things are quiet."""
+        self.last_write = self.clock()
+
+    def step(self, versions: DataFrame, now: datetime) -> DataFrame:
+        """versions after one step of the loop."""
+        from palimpsest.operators.aggregates import oldest_pending_age, pending_backlog
+
+        backlog, age = pending_backlog(versions).first().backlog, oldest_pending_age(versions, now).first().age_secs
+        quiet = self.clock() - self.last_write
+        if not embed_due(backlog, age, quiet):
+            return versions
+        most = self.batch if quiet >= DEBOUNCE else 1
+        taken = versions.where(F.col("status") == "pending").orderBy("created_at", "id").limit(most)
+        done, failed = self.embed(taken)
+        return finish_embed(versions, done, failed)
+
+
+DEBOUNCE = 0.5
+
+
+def embed_due(backlog: int, oldest_seconds: float | None, quiet_seconds: float, debounce: float = DEBOUNCE, longest: float = 60.0, most: int = 1000) -> bool:
     """Whether the embedding worker should run: things are quiet, or too much or too long has waited."""
     if backlog == 0:
         return False

@@ -276,7 +276,7 @@ def test_tools(spark, tmp_path):
     with pytest.raises(TypeError):
         out.call("get_file_history", nothing=1)
     with pytest.raises(LookupError):
-        out.call("describe_plugin_type", type="unknown")
+        out.call("describe_plugin_type", plugin_type="unknown")
     clock = [0.0]
     keys = tools.Confirmations(clock=lambda: clock[0])
     token = keys.issue("delete", "/f")
@@ -366,3 +366,97 @@ class _MemoryStore(dict):
 
     def put(self, name, data):
         self[name] = data
+
+
+def test_gate_holds_back_and_refuses(spark, tmp_path):
+    import threading
+
+    gate = queue.Gate(most=2, patience=0.2)
+    some = markers(spark, [(1, "f", "v1", "h1"), (2, "f", "v2", "h2")])
+    assert queue.enqueue(gate, str(tmp_path / "q"), some) == 2 and gate.depth == 2
+    with pytest.raises(queue.PendingQueueFull):
+        queue.enqueue(gate, str(tmp_path / "q"), some.limit(1))
+    assert gate.depth == 2 and spark.read.json(str(tmp_path / "q")).count() == 2  # nothing of it was made durable
+    waiting = queue.Gate(most=1, patience=5.0)
+    waiting.admit()
+    threading.Timer(0.1, waiting.release).start()
+    waiting.admit()
+    with pytest.raises(Exception):
+        queue.enqueue(queue.Gate(), "nowhere://x", some)
+
+
+def test_embedding_worker(spark):
+    clock = [100.0]
+    v = schema.conform(spark.createDataFrame([(f"v{k}", "f", "pending") for k in range(3)] + [("w", "f", "clean")], "id string, inode_id string, status string"), "file_versions")
+    v = v.withColumn("created_at", F.lit(NOW))
+    worker = queue.EmbedWorker(lambda taken: (taken.where("id <> 'v1'").select("id"), taken.where("id = 'v1'").select("id")), clock=lambda: clock[0])
+    told = lambda df: {r.id: r.status for r in df.collect()}
+    worker.written()
+    assert told(worker.step(v, NOW + timedelta(seconds=1))) == told(v)  # writes go on
+    assert sorted(told(worker.step(v, NOW + timedelta(seconds=61))).values()) == ["clean", "clean", "pending", "pending"]  # forced: the first alone
+    clock[0] += 1
+    assert told(worker.step(v, NOW + timedelta(seconds=1))) == {"v0": "clean", "v1": "failed", "v2": "clean", "w": "clean"}
+
+
+def test_consolidation_log_restarts_and_drops_nothing(spark, tmp_path):
+    from palimpsest.streaming.consolidate import ConsolidationLog
+
+    e = vectors(spark, [(f"a{k}", [1.0, k / 100, 0.0, 0.0]) for k in range(9)])
+    other = vectors(spark, [("z", [0.0, 1.0, 0.0, 0.0])]).withColumn("plugin_type", F.lit("uncalibrated"))
+    open_log = lambda: ConsolidationLog(spark, str(tmp_path / "log"), limits(spark, batch_size=2))
+    assert open_log().state().count() == 0 and open_log().waiting(e.schema).count() == 0
+    open_log().fold_batch(e.where("id < 'a5'").union(other), 0)
+    open_log().fold_batch(e, 1)  # some are offered again
+    open_log().fold_batch(e, 1)  # and the batch runs again
+    log = open_log()
+    assert sorted(r.member_id for r in cluster.members_of(log.state()).collect()) == [f"a{k}" for k in range(9)]
+    assert [r.id for r in log.waiting(e.schema).collect()] == ["z"] and cluster.centroids_of(log.state()).where("is_active").agg(F.sum("member_count")).first()[0] == 9
+
+
+def test_supervisor_merges_after_twenty_cycles(spark):
+    from palimpsest.streaming.consolidate import Supervisor
+
+    now = [0.0]
+    e = vectors(spark, [("a", [1.0, 0.0, 0.0, 0.0]), ("b", [1.0, 0.05, 0.0, 0.0])])
+    t = limits(spark, join_threshold=0.0001, batch_size=5, backlog_threshold=1)
+    watch = Supervisor(lambda: t.withColumn("join_threshold", F.lit(0.0001)), lambda: now[0])
+    state, ran = watch.cycle(e, cluster.empty_state(spark))
+    assert ran == [("t", "m")] and cluster.centroids_of(state).where("is_active").count() == 2
+    assert watch.cycle(cluster.buffered_after(e, state), state)[1] == []
+    watch.cycles[("t", "m")] = 19
+    far = Supervisor(lambda: t.withColumn("join_threshold", F.lit(0.004)), lambda: now[0])
+    far.cycles[("t", "m")] = 19
+    more = vectors(spark, [("c", [0.0, 0.0, 1.0, 0.0])])
+    state, _ = far.cycle(more, state)
+    assert cluster.centroids_of(state).where("merged_into is not null").count() == 2 and cluster.centroids_of(state).where("is_active").agg(F.sum("member_count")).first()[0] == 3
+
+
+def test_vectors_of_other_lengths_are_an_error(spark):
+    e = vectors(spark, [("a", [1.0, 0.0, 0.0, 0.0]), ("b", [1.0, 0.0])])
+    with pytest.raises(Exception, match="2 dimensions among centroids of 4"):
+        cluster.consolidate_batch(e, limits(spark), cluster.empty_state(spark)).collect()
+
+
+def test_pairs_in_blocks_equal_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 6))
+    v[7] = v[3]
+    rows = [(f"c{k:02d}", "t", "m", 6, x.tolist(), True) for k, x in enumerate(v)]
+    cen = spark.createDataFrame(rows, "id string, plugin_type string, model_id string, dim int, centroid array<double>, is_active boolean")
+    gap = search.cosine_distances(v, v)
+    all_pairs = sorted((gap[i, j], f"c{i:02d}", f"c{j:02d}") for i in range(90) for j in range(i + 1, 90) if gap[i, j] < 0.7)
+    got = [(r.a, r.b) for r in search.mergeable_pairs(cen, 0.7, 50, block=16).collect()]
+    assert got == [(a, b) for _, a, b in all_pairs[:50]]
+    e = cen.select("id", "plugin_type", "model_id", F.col("centroid").alias("embedding"))
+    near = {r.id: r.distance for r in search.nearest_distances(e, block=16).collect()}
+    np.fill_diagonal(gap, 9.0)
+    assert all(abs(near[f"c{k:02d}"] - gap[k].min()) < 1e-12 for k in range(90))
+
+
+def test_plugin_dictionaries_are_whole(spark):
+    rust = documents.describe_plugin_type(spark, "rust")
+    assert rust["match_extensions"] == [".rs"] and rust["embedding"]["dimensions"] == 1536 and rust["schema"]["has_unsafe"]["type"] == "boolean"
+    rows = {r.type: r for r in documents.list_plugin_types(spark).collect()}
+    assert json.loads(rows["png"].schema)["width"]["type"] == "integer" and rows["generic"].embedding is None and not rows["png"].ast
