@@ -1,13 +1,17 @@
 """Links between rows that share a listed key, and the groups the links make.
 
 ``linked_groups`` never emits all pairs of a list. First each list is a star:
-its most central member (its "hub") is compared with every other. Groups are
+its member of least id (its "hub") is compared with every other. Groups are
 formed, and lists whose members now lie in one group are settled: no pair in
 them can change anything. Of the others, short ones are compared whole across
 groups; long ones are split by finer keys, and stars again where still long.
 What stays unsettled is gathered by hub and compared in blocks of bounded size:
 the members outside a gathering's largest group against all its members, within
 a task's memory, returning links alone. No partner is capped or left out.
+
+Most keys are one member's alone. An aggregate that combines before its exchange
+finds those that two different members have, with their hubs; only their
+postings are written, and everything after works on these.
 """
 
 from __future__ import annotations
@@ -61,7 +65,7 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
 def linked_groups(
     scratch: Scratch,
     postings: DataFrame,
-    finer: Callable[[DataFrame], DataFrame],
+    finer: Callable[[DataFrame, DataFrame], DataFrame],
     verify: Callable[[DataFrame], DataFrame],
     payload: Callable[[DataFrame], DataFrame],
     links_within: Callable[[list[bytes], list[bytes], np.ndarray, np.ndarray], Iterator[tuple[int, int]]],
@@ -69,36 +73,36 @@ def linked_groups(
 ) -> DataFrame:
     """(id, component) of every id linked to another that shares a key.
 
-    postings: (key, id). finer splits long lists: it takes (parent, id, ..) and
-    returns (key, id, ..) with the keys of the lists that ``parent`` falls into. verify takes distinct (a, b), a < b, and
-    returns those linked. payload returns (id, payload binary) for ids;
+    postings: (key, id), rows may repeat. finer splits long lists: it takes
+    (parent, id, ..) and the listed (key, id) and returns (key, id, ..) with the
+    keys of the lists that ``parent`` falls into. verify takes distinct (a, b),
+    a < b, and returns those linked. payload returns (id, payload binary) for ids;
     links_within takes payloads and groups of seekers and sought, and yields
     positions of links between different groups, enough to join what is joined.
     further: (a, b), a < b, pairs to verify whatever lists they share.
     """
-    sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    listed = scratch.write(postings.join(sizes, "key"))
-    # central: much of it is shared by many
-    weights = listed.groupBy("id").agg(F.sum("n").alias("weight"))
-    listed = scratch.write(listed.join(weights, "id"))
-    first = _star(listed) if further is None else _star(listed).union(further)
-    links = scratch.write(verify(first.distinct()))
+    hubs = postings.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub")
+    listed = scratch.write(postings.join(hubs.hint("shuffle_hash"), "key").distinct())
+    scratch.settle()
+    star = listed.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    links = scratch.write(verify((star if further is None else star.union(further)).distinct()))
     groups = scratch.write(connected_components(scratch, links))
+    scratch.settle()
 
-    rest = scratch.write(_unsettled(listed, groups, "key"))
+    rest = scratch.write(_unsettled(listed.select("key", "id"), groups, "key"))
     if rest.isEmpty():
         return groups
-    long = rest.where(F.col("n") > SHORT_LIST)
-    split = finer(long.select(F.col("key").alias("parent"), "id", "weight", "component")).select("key", "id", "weight", "component").distinct()
-    counted = split.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    split = finer(rest.where(F.col("n") > SHORT_LIST).select(F.col("key").alias("parent"), "id", "component"), listed.select("key", "id")).select("key", "id", "component").distinct()
+    counted = split.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "n")
     split = scratch.write(split.join(counted, "key"))
     still = split.where(F.col("n") > SHORT_LIST)
-    pairs = _across(rest.where(F.col("n") <= SHORT_LIST)).union(_across(split.where(F.col("n") <= SHORT_LIST))).union(_star(still, True))
+    pairs = _across(rest.where(F.col("n") <= SHORT_LIST)).union(_across(split.where(F.col("n") <= SHORT_LIST))).union(_star(still))
     groups, links = _extend(scratch, verify(pairs.distinct()), groups, links)
+    scratch.settle()
 
-    hub = still.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("id").alias("hub"))).alias("h")).select("key", "h.hub")
-    gathered = _unsettled(still, groups, "key").join(hub, "key").select("hub", "id").distinct()
-    rest = scratch.write(_unsettled(gathered, groups, "hub"))
+    hub = still.groupBy("key").agg(F.min("id").alias("hub"))
+    gathered = _unsettled(still.select("key", "id"), groups, "key").select("key", "id").join(hub, "key").select("hub", "id").distinct()
+    rest = scratch.write(_unsettled(gathered, groups, "hub").drop("n"))
     if rest.isEmpty():
         return groups
     return _extend(scratch, _blocks(scratch, rest, payload, links_within), groups, links)[0]
@@ -113,7 +117,7 @@ def _blocks(scratch: Scratch, rest: DataFrame, payload, links_within) -> DataFra
     shaped = rest.join(shape, "hub")
     seek = shaped.where("component <> main").select("hub", "id", "component", F.lit(True).alias("seeks"), row.alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("col"))
     sought = shaped.select("hub", "id", "component", F.lit(False).alias("seeks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"), col.alias("col"))
-    loads = scratch.write(payload(scratch.write(rest.select("id").distinct())))
+    loads = payload(rest.select("id").distinct())
     placed = seek.unionByName(sought).join(loads, "id").select("hub", "row", "col", "id", "component", "seeks", "payload")
 
     def compare(block: pa.Table) -> pa.Table:
@@ -135,13 +139,10 @@ def _extend(scratch: Scratch, found: DataFrame, groups: DataFrame, links: DataFr
     return scratch.write(connected_components(scratch, links)), links
 
 
-def _star(lists: DataFrame, across: bool = False) -> DataFrame:
-    """Each list's hub with every other member; with ``across``, of other groups only."""
-    own = [F.col("component").alias("c")] if across else []
-    hub = lists.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("id").alias("hub"), *own)).alias("h")).select("key", "h.*")
-    apart = F.col("component") != F.col("c") if across else F.lit(True)
-    pairs = lists.join(hub, "key").where((F.col("id") != F.col("hub")) & apart)
-    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+def _star(lists: DataFrame) -> DataFrame:
+    """Each list's member of least id with every other of another group."""
+    hub = lists.groupBy("key").agg(F.min(F.struct("id", "component")).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.component").alias("c"))
+    return lists.join(hub, "key").where("id <> hub and component <> c").select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
 
 def _across(lists: DataFrame) -> DataFrame:
@@ -152,7 +153,7 @@ def _across(lists: DataFrame) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """Members of lists that lie in two groups or more, with their groups."""
-    named = members.drop("component").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_lists = named.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(key)
-    return named.join(open_lists, key, "left_semi")
+    """Members of lists that lie in two groups or more, with their groups and how many they are (n)."""
+    named = members.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_lists = named.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select(key, "n")
+    return named.join(open_lists.hint("shuffle_hash"), key)

@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs_of = runs(reps.select("id", "sketch"), 2).select("id", F.explode("runs").alias("v"))
     postings = pairs_of.select(F.xxhash64("v.v0", "v.v1").alias("key"), "id")
 
-    def finer(rows: DataFrame) -> DataFrame:
+    def finer(rows: DataFrame, _: DataFrame) -> DataFrame:
         """A list of two neighbours is split by the next; other runs of a sketch are left out before they are rows."""
         longer = runs(rows.join(reps.select("id", "sketch"), "id"), 3)
         own = F.filter("runs", lambda r: F.xxhash64(r["v0"], r["v1"]) == F.col("parent"))

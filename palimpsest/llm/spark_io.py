@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.session import remove, shared_dir
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,18 +20,6 @@ def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in kinds.items())])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one of our own where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = getattr(spark, "_palimpsest_scratch", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark._palimpsest_scratch = own
-    return own
-
-
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive the loss of an executor.
 
@@ -63,8 +52,11 @@ class Scratch:
         return result
 
     def _delete(self, path: str) -> None:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        remove(self.spark, path)
+
+    def settle(self) -> None:
+        """Let the context's cleaner free the shuffle files and broadcasts of finished steps: it does so when the driver collects garbage."""
+        self.spark._jvm.System.gc()
 
 
 def doc_bucket(column: str, modulus: int):

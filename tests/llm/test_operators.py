@@ -345,7 +345,7 @@ def brute_lines(texts):
         if not text:
             continue
         data = np.frombuffer(text.encode(), dtype=np.uint8)
-        _, numbers, marks, sims = line_dedup.line_marks(data, np.array([0, len(data)]))
+        _, numbers, marks, sims = line_dedup.marks_and_keys(data, np.array([0, len(data)]))[:4]
         lines = text.encode().split(b"\n")
         for n, mark, sim in zip(numbers.tolist(), marks.tolist(), sims.tolist()):
             entries.setdefault(mark, (sim, line_dedup.normalise(lines[n]).decode()))
