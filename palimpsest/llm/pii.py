@@ -9,7 +9,9 @@ Base kinds: email, ip (four parts of at most 255), card (14 to 19 digits passing
 the Luhn check), phone (10 to 15 digits after a plus sign). A candidate that
 fails its check is dropped and the search goes on after it. Further kinds: url
 (after a scheme or "www.") and account (an identifier with a digit after a cue
-such as "iban" or "ssn"). Null and empty texts have no spans.
+such as "iban" or "ssn"; international account numbers by their length and
+remainder). Null and empty texts have no spans; repeated rows are read each for
+itself, and other columns are carried along.
 """
 
 from __future__ import annotations
@@ -34,10 +36,15 @@ LABEL = ALNUM | frozenset("-")
 DIGITS = frozenset("0123456789")
 PHONE = DIGITS | frozenset(" ().-")
 
-SCHEMES = ("http://", "https://", "ftp://", "HTTP://", "HTTPS://", "FTP://", "www.", "WWW.")
+# Schemes and cues are met in any case of A-Z.
+SCHEMES = ("http://", "https://", "ftp://", "www.")
 URL_STOP = frozenset(" \t\n\r\x0b\x0c\"'<>`{}|\\^ ")
 URL_TRAIL = frozenset(".,;:!?)]")
-CUES = ("iban", "IBAN", "Iban", "ssn", "SSN", "account", "Account", "ACCOUNT", "passport", "Passport", "PASSPORT", "konto", "Konto", "compte", "Compte", "cuenta", "Cuenta")
+CUES = ("iban", "ssn", "account", "passport", "konto", "compte", "cuenta")
+UPPER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: Signs of an international account number.
+IBAN_LENGTHS = range(15, 35)
+_FOLD = {c: c + 32 for c in range(65, 91)}
 ACCOUNT = ALNUM | frozenset("-")
 
 
@@ -139,8 +146,27 @@ def expand_url(text: str, start: int, size: int) -> tuple[int, int] | None:
     return (start, end) if end > start + size else None
 
 
+def expand_iban(text: str, first: int) -> int | None:
+    """The end of the international account number that begins here: groups of capitals and digits, blanks between, remainder 1 by 97."""
+    if not (text[first : first + 2].isascii() and text[first : first + 2].isalpha() and text[first : first + 2].isupper() and text[first + 2 : first + 4].isascii() and text[first + 2 : first + 4].isdigit() and len(text) >= first + 4):
+        return None
+    n, end, signs, best = len(text), first, [], None
+    while end < n and len(signs) <= IBAN_LENGTHS[-1]:
+        c = text[end]
+        if c in DIGITS or c in UPPER:
+            signs.append(c)
+            end += 1
+            if len(signs) in IBAN_LENGTHS and (end == n or text[end] not in ALNUM) and int("".join(str(int(s, 36)) for s in signs[4:] + signs[:4])) % 97 == 1:
+                best = end
+        elif c == " " and end + 1 < n and (text[end + 1] in DIGITS or text[end + 1] in UPPER):
+            end += 1
+        else:
+            break
+    return best
+
+
 def expand_account(text: str, start: int, size: int) -> tuple[int, int] | None:
-    """The identifier after a cue: groups of letters and digits, six signs or more with a digit."""
+    """The identifier after a cue: an international account number, else groups of letters and digits, six signs or more with a digit."""
     n, at = len(text), start + size
     if (start and text[start - 1] in ALNUM) or (at < n and text[at] in ALNUM):
         return None
@@ -153,6 +179,8 @@ def expand_account(text: str, start: int, size: int) -> tuple[int, int] | None:
         if word - at in range(1, 8) and word < n and text[word] in " :#.=":
             at = word
     first = at
+    if end := expand_iban(text, first):
+        return first, end
     end = at
     while end < n and (text[end] in ACCOUNT or (text[end] == " " and end + 1 < n and text[end + 1] in DIGITS and text[end - 1] in ALNUM)):
         end += 1
@@ -166,7 +194,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then by kind as listed in KINDS."""
     spans = []
     email_end = ip_end = card_end = phone_end = url_end = account_end = 0
-    for last, (what, size) in anchors().iter(text):
+    for last, (what, size) in anchors().iter(text.translate(_FOLD)):
         if what == "digit":
             if last >= ip_end:
                 end, good, ip_end = expand_ip(text, last)
