@@ -7,16 +7,22 @@ of an item's shingles lacks a fifth at most, so it holds a known number of the
 sketch: texts that do are candidates, whatever their length. Exact containment
 of the full shingle sets decides.
 
-Items are broadcast in blocks of bounded size, a pass over the texts each, so a
-benchmark of any size is searched whole. Null and empty texts and items without
-words match nothing; an item or text of fewer than five words has its whole
-sequence as its shingle. Repeated items match each for itself.
+Items are broadcast in blocks of bounded size, so a benchmark of any size is
+searched whole. One block is one pass over the texts. With more, each pass tells
+what it found by a digest of the text, as that depends on nothing else, and the
+findings meet the documents once: texts are read again, but never written.
+Null and empty texts and items without words match nothing; an item or text of
+fewer than five words has its whole sequence as its shingle. Repeated items match
+each for itself, repeated documents are found each. Items of a null id are left
+out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernels
-from palimpsest.llm.spark_io import Scratch, with_fields
+from palimpsest.llm.spark_io import Scratch, free_name, with_fields
 
 SHINGLE = 5
 PERCENT = 80
 SPARE = 8
 #: Bound of one broadcast block of items, in bytes of text.
 BLOCK_BYTES = 8 << 20
+#: Texts with findings up to this many are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_FOUND = 200_000
 
 
 @dataclass
@@ -88,10 +96,10 @@ def build_index(ids: list[int], texts: list[bytes]) -> ItemIndex:
     return ItemIndex(ids, sets, least, flat[order], own[order])
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[ItemIndex]:
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[ItemIndex]:
     """Indexes over the items, each of a bounded size."""
     ids, texts, size = [], [], 0
-    rows = items.where(F.length(F.trim(text_col)) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = items.where((F.length(F.trim(text_col)) > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     for row in rows.orderBy("id", "text").toLocalIterator():
         ids.append(row.id)
         texts.append(row.text.encode())
@@ -103,33 +111,61 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int =
         yield build_index(ids, texts)
 
 
-def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with ``items``, the sorted ids of the items each text contains; a column by that name is replaced."""
-    spark = docs.sparkSession
-    kept = docs.drop("items")
-    at = kept.columns.index(text_col)
-    width = len(kept.columns)
-    names = [*kept.columns, "items"]
-    schema = with_fields(kept.schema, items="array<bigint>")
+def _search_batches(shared, at: int):
+    """For each batch the items contained in each of its texts."""
+
+    def found(batch: pa.RecordBatch) -> list[list[int]]:
+        data, offsets = kernels.utf8(batch.column(at))
+        out: list[list[int]] = []
+        for lo, hi in kernels.chunks(offsets):
+            part = offsets[lo : hi + 1]
+            out += shared.value.search(data[part[0] : part[-1]], part - part[0])
+        return out
 
-    def search(source: DataFrame, index: ItemIndex) -> DataFrame:
-        shared = spark.sparkContext.broadcast(index)
+    return found
 
-        def run(batches) -> Iterator[pa.RecordBatch]:
-            own = shared.value
+
+def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with ``items``, the sorted ids of the items each text contains; a column by that name is replaced."""
+    kept = docs.drop("items")
+    blocks = item_blocks(items, item_id, item_text, block_bytes)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return kept.withColumn("items", F.expr("cast(array() as array<bigint>)"))
+    context = docs.sparkSession.sparkContext
+    if second is None:
+        search = _search_batches(context.broadcast(first), kept.columns.index(text_col))
+        names = [*kept.columns, "items"]
+
+        def tell(batches) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                data, offsets = kernels.utf8(batch.column(at))
-                found = []
-                for lo, hi in kernels.chunks(offsets):
-                    part = offsets[lo : hi + 1]
-                    found += own.search(data[part[0] : part[-1]], part - part[0])
-                earlier = batch.column(width).to_pylist() if batch.num_columns > width else [[]] * len(found)
-                merged = [sorted(a + b) for a, b in zip(earlier, found)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(merged, pa.list_(pa.int64()))], names=names)
-
-        return source.mapInArrow(run, schema)
-
-    out, scratch = kept, Scratch(spark, "decontaminate")
-    for n, index in enumerate(item_blocks(items, item_id, item_text)):
-        out = search(out if not n else scratch.write(out), index)
-    return out if out is not kept else kept.withColumn("items", F.expr("cast(array() as array<bigint>)"))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sorted(f) for f in search(batch)], pa.list_(pa.int64()))], names=names)
+
+        return kept.mapInArrow(tell, with_fields(kept.schema, items="array<bigint>"))
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    digest = [F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col)]
+    texts = kept.where(F.length(text_col) > 0).select(F.col(text_col).alias("text"), *(d.alias(f"d{k}") for k, d in enumerate(digest)))
+    passes = []
+    for index in chain([first, second], blocks):
+        shared = context.broadcast(index)
+        passes.append(scratch.write(texts.mapInArrow(_finding_batches(_search_batches(shared, 0)), "d0 long, d1 long, items array<bigint>").distinct()))
+        shared.destroy()
+    found = scratch.last(reduce(DataFrame.union, passes).groupBy("d0", "d1").agg(F.sort_array(F.flatten(F.collect_list("items"))).alias("items")))  # a row a block at most
+    few = found.limit(BROADCAST_FOUND + 1).count() <= BROADCAST_FOUND
+    named = [free_name(kept, n) for n in ("d0", "d1")]
+    keyed = kept.withColumns(dict(zip(named, digest)))
+    told = found.withColumnsRenamed(dict(zip(("d0", "d1"), named)))
+    joined = keyed.join(F.broadcast(told) if few else told, named, "left")
+    return joined.select(*kept.columns, F.coalesce("items", F.expr("cast(array() as array<bigint>)")).alias("items"))
+
+
+def _finding_batches(search):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = search(batch)
+            hit = [i for i, f in enumerate(found) if f]
+            if hit:
+                rows = batch.take(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), pa.array([sorted(found[i]) for i in hit], pa.list_(pa.int64()))], names=["d0", "d1", "items"])
+
+    return run

@@ -20,6 +20,14 @@ def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in kinds.items())])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive the loss of an executor.
 
