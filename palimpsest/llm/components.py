@@ -70,6 +70,7 @@ def linked_groups(
     payload: Callable[[DataFrame], DataFrame],
     links_within: Callable[[list[bytes], list[bytes], np.ndarray, np.ndarray], Iterator[tuple[int, int]]],
     further: DataFrame | None = None,
+    certain: DataFrame | None = None,
 ) -> DataFrame:
     """(id, component) of every id linked to another that shares a key.
 
@@ -79,13 +80,15 @@ def linked_groups(
     a < b, and returns those linked. payload returns (id, payload binary) for ids;
     links_within takes payloads and groups of seekers and sought, and yields
     positions of links between different groups, enough to join what is joined.
-    further: (a, b), a < b, pairs to verify whatever lists they share.
+    further: (a, b), a < b, pairs to verify whatever lists they share; certain:
+    pairs that are linked.
     """
     hubs = postings.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub")
     listed = scratch.write(postings.join(hubs.hint("shuffle_hash"), "key").distinct())
     scratch.settle()
     star = listed.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    links = scratch.write(verify((star if further is None else star.union(further)).distinct()))
+    links = verify((star if further is None else star.union(further)).distinct())
+    links = scratch.write(links if certain is None else links.union(certain))
     groups = scratch.write(connected_components(scratch, links))
     scratch.settle()
 

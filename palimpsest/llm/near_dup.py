@@ -17,7 +17,10 @@ similarity of the full sets decides.
 
 Texts without words (null, empty, white space) have an empty set, are linked
 with nothing and stay. Rows with an equal set are one class before anything is
-compared, so copies never multiply pairs. A null id is carried as it is.
+compared, so copies never multiply pairs. Rows with an equal id are one document:
+it is linked with what any of its texts is, and its rows are kept or not
+together. A row of a null id stands for itself: it is kept, and of no one's
+component.
 """
 
 from __future__ import annotations
@@ -122,13 +125,13 @@ def _similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, k: int = SKETCH, least_shared: int = LEAST_SHARED) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) of every row; ids are unique longs."""
+    """(id_col, n_shingles, component_id, kept) of every row; ids are longs."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near_dup")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketched = scratch.write(texts.mapInArrow(_sketch_batches(shingle, k), "id long, n long, mark binary, sketch array<long>"))
 
-    worded = sketched.where("mark is not null")
+    worded = sketched.where("mark is not null and id is not null")
     reps = scratch.write(worded.groupBy("mark").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")))
 
     def runs(rows: DataFrame, length: int) -> DataFrame:
@@ -176,10 +179,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     four = reps.where("n = 4").select(F.col("sketch").alias("values"), F.col("id").alias("s"))
     fives = reps.where("n = 5").select(F.explode(F.array(*(F.array(*(F.col("sketch")[i] for i in range(5) if i != gone)) for gone in range(5)))).alias("values"), F.col("id").alias("t"))
     contained = fives.join(four, "values").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
-    groups = linked_groups(scratch, postings, finer, verify, sets_of, _links_within(percent, k, least_shared), contained)
+    # an id with several texts links the classes of them all
+    several = worded.groupBy("id").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("id")
+    own = worded.select("id", "mark").join(several, "id").distinct().join(reps.select("mark", F.col("id").alias("rep")), "mark").where("id <> rep")
+    certain = own.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))
+    groups = linked_groups(scratch, postings, finer, verify, sets_of, _links_within(percent, k, least_shared), contained, certain)
     classes = reps.select("mark", "id").join(groups, "id", "left").select("mark", F.coalesce("component", "id").alias("component"))
     linked = worded.select("id", "n", "mark").join(classes, "mark").select("id", "n", "component")
-    alone = sketched.where("mark is null").select("id", "n", F.col("id").alias("component"))
+    alone = sketched.where("mark is null or id is null").select("id", "n", F.col("id").alias("component"))
     result = linked.union(alone).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("id")).alias("kept")
     )
