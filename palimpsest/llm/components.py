@@ -92,14 +92,16 @@ def linked_groups(
     groups = scratch.write(connected_components(scratch, links))
     scratch.settle()
 
-    rest = scratch.write(_unsettled(listed.select("key", "id"), groups, "key"))
+    rest = scratch.write(_unsettled(listed, groups, "key"))
     if rest.isEmpty():
         return groups
     split = finer(rest.where(F.col("n") > SHORT_LIST).select(F.col("key").alias("parent"), "id", "component"), listed.select("key", "id")).select("key", "id", "component").distinct()
     counted = split.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "n")
     split = scratch.write(split.join(counted, "key"))
     still = split.where(F.col("n") > SHORT_LIST)
-    pairs = _across(rest.where(F.col("n") <= SHORT_LIST)).union(_across(split.where(F.col("n") <= SHORT_LIST))).union(_star(still))
+    # a list's own hub has met the others already
+    short = _across(rest.where((F.col("n") <= SHORT_LIST) & (F.col("id") != F.col("hub"))))
+    pairs = short.union(_across(split.where(F.col("n") <= SHORT_LIST))).union(_star(still))
     groups, links = _extend(scratch, verify(pairs.distinct()), groups, links)
     scratch.settle()
 

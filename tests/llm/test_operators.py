@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ann, byte_bpe, decontaminate, html_blocks, kernels, lang_id, layouts, line_dedup, near_dup, pii, token_orc, toxicity
+from palimpsest.llm import ann, byte_bpe, decontaminate, edits, html_blocks, kernels, lang_id, layouts, line_dedup, near_dup, pii, token_orc, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -335,7 +335,7 @@ def test_edit_distance():
     rng = random.Random(1)
     for _ in range(3000):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(0, 10))) for _ in range(2))
-        assert line_dedup.edit_distance(a, b) == plain(a, b)
+        assert edits.edit_distance(a, b) == plain(a, b)
 
 
 def brute_lines(texts):
@@ -361,7 +361,7 @@ def brute_lines(texts):
     for k, a in enumerate(names):
         for b in names[k + 1 :]:
             apart = ((entries[a][0] ^ entries[b][0]) & (2**64 - 1)).bit_count()
-            if apart <= line_dedup.RADIUS and line_dedup.alike(entries[a][1], entries[b][1]):
+            if apart <= line_dedup.RADIUS and line_dedup.alike([entries[a][1].encode()], [entries[b][1].encode()])[0]:
                 parent[top(b)] = top(a)
     groups = defaultdict(list)
     for e in entries:
@@ -411,7 +411,7 @@ def test_lines_alike_by_edits_are_joined(spark):
         other = list(one)
         for _ in range(1 if i < 400 else max(1, len(one) // 10)):
             other[rng.randrange(len(other))] = word()
-        if line_dedup.alike(" ".join(one), " ".join(other)) and one != other:
+        if line_dedup.alike([" ".join(one).encode()], [" ".join(other).encode()])[0] and one != other:
             pairs.append((" ".join(one), " ".join(other)))
     head = " ".join(word() for _ in range(4))  # a long list: many lines of one beginning, some of them alike
     hot = [f"{head} {word()} {word()} {word()} {word()}" for _ in range(80)]
