@@ -11,11 +11,17 @@ probes, by a pass over all vectors, tell which share of the vectors must be
 visited to find RECALL of them. So the share doesn't fall as the table grows,
 unless its neighbours get easier to find.
 
+A leaf is dealt to as many cells as its share of the vectors needs, so that a
+cell has CELL_ROWS of them or so however large the table is, and queries are
+dealt in blocks of QUERY_ROWS; a cell's vectors pass by its queries batch by
+batch. The best of each query are kept per task, not per leaf.
+
 Equal vectors are one entry of the index, of which at most as many members as
 neighbours are wanted (and one for the query itself) can matter, the ones of
 least id; so copies of a vector fill no leaf. Vectors that are null, zero, of
 another length than the most common one, or hold null or non-finite components
-take no part. A query gets all candidates found if there are fewer than asked.
+take no part, nor do rows of a null id. Rows with an equal id and vector are
+candidates each. A query gets all candidates found if there are fewer than asked.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm import kernels
 from palimpsest.llm.spark_io import Scratch
 
 TREES = 8
@@ -39,6 +46,10 @@ SEARCH = 40_000
 RECALL, PROBES = 0.95, 64
 #: Bound of the sample the trees are fitted on.
 SAMPLE = 20_000
+#: Vectors of a cell, about, and queries that a cell has at most, about.
+CELL_ROWS, QUERY_ROWS = 20_000, 50_000
+#: Found rows a task holds before it keeps the best of each query alone.
+HELD_ROWS = 1 << 20
 
 
 @dataclass
@@ -77,7 +88,7 @@ class Forest:
         heap = [(0.0, int(r)) for r in self.roots]
         heapq.heapify(heap)
         found, got = [], 0.0
-        while heap and got < wanted:
+        while heap and (got < wanted or heap[0][0] == 0.0):  # nothing lies between a query and the leaf it falls into
             worst, node = heapq.heappop(heap)
             if node < 0:
                 found.append(-node - 1)
@@ -194,6 +205,42 @@ def _share_for(reps: DataFrame, forest: Forest, shared, slot, count: int, k: int
     return float(np.nextafter(needs[min(len(needs), int(np.ceil(RECALL * len(needs)))) - 1], np.inf))
 
 
+def closest_of(names: np.ndarray, asked: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance) of the k closest vectors to each query, by exact distance and then by id.
+
+    A product of matrices tells which can be among them; of these the distance is
+    worked out from the differences.
+    """
+    out = []
+    lengths = (vectors * vectors).sum(1)
+    for lo in range(0, len(asked), max(1, (1 << 21) // max(1, len(ids)))):
+        own = asked[lo : lo + max(1, (1 << 21) // max(1, len(ids)))]
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = lengths[None, :] - 2 * (own @ vectors.T)
+            room = 1e-9 * (1 + lengths.max() + (own * own).sum(1))  # what rounding may hide
+            if not np.isfinite(near).all() or not np.isfinite(room).all():  # squares beyond double precision
+                near = np.stack([((vectors - v) ** 2).sum(1) for v in own])
+                room = np.zeros(len(own))
+        last = np.partition(near, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(own), np.inf)
+        row, col = np.nonzero(near <= (last + room)[:, None])
+        gap = vectors[col] - own[row]
+        out.append((names[lo + row], ids[col], np.sqrt((gap * gap).sum(1))))
+    return best_of(out, k)
+
+
+def best_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query among all that was found, each id once."""
+    query, ids, score = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((ids, score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    # an id found again has the same distance, so it stands beside itself
+    again = np.concatenate([[False], (query[1:] == query[:-1]) & (ids[1:] == ids[:-1])])
+    query, ids, score = query[~again], ids[~again], score[~again]
+    head = np.concatenate([[True], query[1:] != query[:-1]])
+    nth = np.arange(len(query)) - np.maximum.accumulate(np.where(head, np.arange(len(query)), 0))
+    return query[nth < k], ids[nth < k], score[nth < k]
+
+
 def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, trees: int = TREES, leaf: int = LEAF, search: int = SEARCH, sample_rows: int = SAMPLE) -> DataFrame:
     """(query_id, rank, id_col, score) for queries whose id is divisible by ``every``, against all other rows."""
     spark = df.sparkSession
@@ -216,71 +263,80 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     shared = spark.sparkContext.broadcast(forest)
     wanted = max(search / count, _share_for(reps, forest, shared, slot, count, k) if search < trees * count else 0.0)
     kind = reps.schema["vector"].dataType.simpleString()
-    placed = f"leaf long, asks boolean, id long, vector {kind}"
+    placed = f"cell long, asks boolean, id long, vector {kind}"
+    asked_rows = queries.count()
+    slices = np.maximum(1, np.ceil(forest.share * count / CELL_ROWS)).astype(np.int64)  # of each leaf
+    first = np.concatenate([[0], np.cumsum(slices)])
+    blocks = max(1, -(-asked_rows // QUERY_ROWS))
+
+    def spread(ids: np.ndarray, salt: int, among) -> np.ndarray:
+        return (kernels.mix64(ids.astype(np.uint64) + np.uint64(salt)) % np.asarray(among, dtype=np.uint64)).astype(np.int64)
 
-    def place(column: pa.Array, ids, leaves: list, asks: bool) -> pa.RecordBatch:
-        many = np.array([len(v) for v in leaves])
-        rows = pa.array(np.repeat(np.arange(len(many)), many))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([np.asarray(v, dtype=np.int64) for v in leaves])), pa.array(np.full(many.sum(), asks)), ids.take(rows), column.take(rows)],
-            names=["leaf", "asks", "id", "vector"],
-        )
+    def place(batch: pa.RecordBatch, rows: np.ndarray, cells: np.ndarray, asks: bool) -> pa.RecordBatch:
+        at = pa.array(rows)
+        return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.full(len(rows), asks)), batch.column(0).take(at), batch.column(1).take(at)], names=["cell", "asks", "id", "vector"])
 
     def deal(batches) -> Iterator[pa.RecordBatch]:
+        """A vector goes to one cell of its leaf in each tree, once for every block of queries."""
         own = shared.value
         for batch in batches:
             if batch.num_rows:
-                yield place(batch.column(1), batch.column(0), list(own.leaves(_matrix(batch.column(1)))), False)
+                leaves = own.leaves(_matrix(batch.column(1)))
+                cells = first[leaves] + spread(np.asarray(batch.column(0))[:, None], 1, slices[leaves])
+                whole = (cells.reshape(-1)[:, None] * blocks + np.arange(blocks)).reshape(-1)
+                yield place(batch, np.repeat(np.arange(batch.num_rows), leaves.shape[1] * blocks), whole, False)
 
     def ask(batches) -> Iterator[pa.RecordBatch]:
+        """A query goes to all cells of the leaves it visits, in its block."""
         own = shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
                 margins = _matrix(batch.column(1)) @ own.planes.T - own.offsets if len(own.planes) else np.zeros((batch.num_rows, 0))
-                yield place(batch.column(1), batch.column(0), [own.visit(m, wanted) for m in margins], True)
-
-    def rank_leaf(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """The best of one leaf for each query that visits it."""
-        asks = np.asarray(rows.column(1).to_numpy(zero_copy_only=False), dtype=bool)
-        if not asks.any() or asks.all():
-            return None
-        ids, vectors = np.asarray(rows.column(2)), _matrix(rows.column(3))
-        them, held = vectors[~asks], ids[~asks]
-        out = []
-        for query, vector in zip(ids[asks], vectors[asks]):
-            gap = them - vector
-            score = np.sqrt((gap * gap).sum(1))
-            top = np.lexsort((held, score))[: k + 1]
-            out.append((np.full(len(top), query), held[top], score[top]))
-        return tuple(np.concatenate(c) for c in zip(*out))
-
-    def search_leaves(batches) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by leaf; a leaf may run over several batches."""
-        carry = None
+                visits = [np.array(own.visit(m, wanted), dtype=np.int64) for m in margins]
+                cells = [np.concatenate([np.arange(first[leaf], first[leaf + 1]) for leaf in v]) for v in visits]
+                rows = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+                yield place(batch, rows, np.concatenate(cells) * blocks + spread(np.asarray(batch.column(0)), 2, blocks)[rows], True)
+
+    def search_cells(batches) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell, queries first; a cell may run over several batches."""
+        cell, names, asked_, held, size = None, [], [], [], 0
         for batch in batches:
-            if not batch.num_rows:
+            own = np.asarray(batch.column(0))
+            if not len(own):
                 continue
-            rows = batch if carry is None else pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
-            leaf = np.asarray(rows.column(0))
-            cuts = np.flatnonzero(np.diff(leaf)) + 1
-            found = [rank_leaf(rows.slice(a, b - a)) for a, b in zip([0, *cuts[:-1]], cuts)]
-            carry = rows.slice(cuts[-1] if len(cuts) else 0)
-            yield from packed(found)
-        if carry is not None:
-            yield from packed([rank_leaf(carry)])
-
-    def packed(found) -> Iterator[pa.RecordBatch]:
-        kept = [f for f in found if f is not None]
-        if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept)], names=["query", "rep", "score"])
+            asks = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=bool)
+            ids, vectors = np.asarray(batch.column(2)), _matrix(batch.column(3))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]])
+            for lo, hi in zip(cuts, cuts[1:]):
+                if own[lo] != cell:
+                    cell, names, asked_ = own[lo], [], []
+                middle = lo + int(asks[lo:hi].sum())
+                if middle > lo:
+                    names.append(ids[lo:middle])
+                    asked_.append(vectors[lo:middle])
+                if middle < hi and names:
+                    names, asked_ = [np.concatenate(names)], [np.concatenate(asked_)]
+                    held.append(closest_of(names[0], asked_[0], ids[middle:hi], vectors[middle:hi], k + 1))
+                    size += len(held[-1][0])
+            if size > HELD_ROWS:
+                held = [best_of(held, k + 1)]
+                size = len(held[0][0])
+                if size > HELD_ROWS // 2:  # many queries: what is found so far goes out
+                    yield told(held[0])
+                    held, size = [], 0
+        if held:
+            yield told(best_of(held, k + 1))
+
+    def told(found) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query", "rep", "score"])
 
     # queries with the same vector share one search
     asked = scratch.write(queries.join(reps.withColumnRenamed("vector", "v"), F.col("vector") == F.col("v")).select(F.col("id").alias("query_id"), "rep"))
     distinct = asked.select("rep").distinct().join(reps, "rep").select("rep", "vector")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    leaves = reps.select("rep", "vector").mapInArrow(deal, placed).unionByName(distinct.mapInArrow(ask, placed))
-    scored = leaves.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(search_leaves, "query long, rep long, score double")
+    cells = reps.select("rep", "vector").mapInArrow(deal, placed).unionByName(distinct.mapInArrow(ask, placed))
+    scored = cells.repartition(parts, "cell").sortWithinPartitions("cell", F.desc("asks")).mapInArrow(search_cells, "query long, rep long, score double")
     # a vector found in several trees has one score
     scored = scored.groupBy("query", "rep").agg(F.min("score").alias("score"))
     near = Window.partitionBy("query").orderBy("score", "rep")

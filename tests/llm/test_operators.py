@@ -471,6 +471,30 @@ def test_leaves_agree_with_visits():
         assert set(leaves[i]) <= set(forest.visit(forest.planes @ v[i] - forest.offsets, 4.1)) and visited[0] in set(leaves[i])
 
 
+def test_neighbours_in_cells_and_blocks(spark):
+    """Leaves dealt to several cells, queries to several blocks, huge components, ids repeated and null."""
+    rng = np.random.default_rng(12)
+    vectors = np.concatenate([rng.normal(size=(900, 8)), 1e200 * rng.normal(size=(20, 8))])
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(None, vectors[3].tolist()), (5, vectors[5].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    kept = ann.CELL_ROWS, ann.QUERY_ROWS, ann.HELD_ROWS
+    ann.CELL_ROWS, ann.QUERY_ROWS, ann.HELD_ROWS = 5, 30, 400
+    try:
+        got = defaultdict(list)
+        for r in ann.nearest(df, every=10).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+    finally:
+        ann.CELL_ROWS, ann.QUERY_ROWS, ann.HELD_ROWS = kept
+    assert sorted(got) == list(range(0, 920, 10))
+    with np.errstate(over="ignore"):
+        for q, found in got.items():
+            d = np.sqrt(((vectors - vectors[q]) ** 2).sum(1))
+            order = [i for i in np.lexsort((np.arange(920), d)) if i != q][:10]
+            assert len({i for i, _ in found}) >= 9 and all(s == d[i] for i, s in found)
+            if q < 900 and 5 not in order:  # all leaves are visited at this size
+                assert [i for i, _ in found] == order
+
+
 def test_html_blocks_read():
     page = "<!doctype html><title>t</title><script>var a='</p>';</script><nav><ul><li><a href='/x'>Home &amp; more</a><li>Two</ul></nav><!-- <p>no</p> --><article><p>One <b>two</b>\n three<p>Four<br>five &lt;tag&gt; &copy; a < b</article><foot"
     blocks = html_blocks.read_blocks(page).blocks
