@@ -25,7 +25,7 @@ def build_session(app: str = "palimpsest", master: str | None = None, **conf: st
 
 
 #: Rows and bytes of an Arrow batch where the session names none: texts are long, and a batch is held whole on either side.
-ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def ship(spark: SparkSession) -> SparkSession:
