@@ -133,7 +133,9 @@ def _blocks(scratch: Scratch, rest: DataFrame, payload, links_within) -> DataFra
         found = [(ids[one[i]], ids[other[j]]) for i, j in links_within([loads_[i] for i in one], [loads_[j] for j in other], group[one], group[other])]
         return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
 
-    return placed.groupBy("hub", "row", "col").applyInArrow(compare, "a long, b long")
+    # blocks are few bytes and much work, so they are dealt to all tasks, whatever their bytes
+    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(parts, "hub", "row", "col").groupBy("hub", "row", "col").applyInArrow(compare, "a long, b long")
 
 
 def _extend(scratch: Scratch, found: DataFrame, groups: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
