@@ -1,16 +1,19 @@
 """Full-text search: BM25 ranks, and the plain substring search it falls back on.
 
 BM25 is Okapi's with k1 = 1.2 and b = 0.75 over lower-cased runs of letters and
-digits. Only texts that hold a term are tokenised for counting; the corpus
-statistics are one aggregate.
+digits. Texts are tokenised once: the pass that writes the counts of those that
+hold a term observes the corpus statistics of all of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as fn
+from palimpsest.session import new_folder, written
 
 K1, B = 1.2, 0.75
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -28,15 +31,19 @@ def bm25(docs: DataFrame, query: str, k: int = 20, id_col: str = "id", text_col:
     words = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
     asked = F.array(*(F.lit(t) for t in terms)) if terms else F.expr("cast(array() as array<string>)")
     counted = words.select("id", F.size("w").alias("dl"), F.transform(asked, lambda t: F.size(F.filter("w", lambda w: w == t))).alias("tf"))
-    totals = [F.sum(F.when(F.col("tf")[i] > 0, 1).otherwise(0)).cast("double").alias(f"df{i}") for i in range(len(terms))]
-    stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *totals)
-    scored = counted.where(F.exists("tf", lambda c: c > 0)).crossJoin(F.broadcast(stats))  # one row of statistics
+    seen = Observation()
+    totals = [F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]
+    watched = counted.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words"), *totals)
+    spark = docs.sparkSession
+    hits = written(watched.where(F.exists("tf", lambda c: c > 0)), new_folder(spark, "bm25"))
+    corpus = seen.get
+    mean = (corpus["words"] or 0) / max(1, corpus["n"])
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        idf = math.log(1 + (corpus["n"] - corpus[f"df{i}"] + 0.5) / (corpus[f"df{i}"] + 0.5))
         tf = F.col("tf")[i].cast("double")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+    return hits.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def substring_search(versions: DataFrame, ast_nodes: DataFrame, inodes: DataFrame, query: str, limit: int = 20, plugin_type: str | None = None) -> DataFrame:
