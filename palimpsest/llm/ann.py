@@ -190,7 +190,7 @@ def _share_for(reps: DataFrame, forest: Forest, shared, slot, count: int, k: int
             columns = [pa.array(np.repeat(np.arange(len(scores)), scores.shape[1]), pa.int64()), pa.array(scores.reshape(-1)), pa.array(leaves.tolist(), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    found = reps.select("rep", "vector").mapInArrow(closest, "probe long, score double, leaves array<long>")
+    found = reps.select("rep", "vector").mapInArrow(kernels.tidy(closest), "probe long, score double, leaves array<long>")
     order = Window.partitionBy("probe").orderBy("score")
     # the first is the probe itself
     best = found.withColumn("n", F.row_number().over(order)).where((F.col("n") > 1) & (F.col("n") <= k + 1)).select("probe", "leaves").collect()
@@ -335,8 +335,8 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     asked = scratch.write(queries.join(reps.withColumnRenamed("vector", "v"), F.col("vector") == F.col("v")).select(F.col("id").alias("query_id"), "rep"))
     distinct = asked.select("rep").distinct().join(reps, "rep").select("rep", "vector")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = reps.select("rep", "vector").mapInArrow(deal, placed).unionByName(distinct.mapInArrow(ask, placed))
-    scored = cells.repartition(parts, "cell").sortWithinPartitions("cell", F.desc("asks")).mapInArrow(search_cells, "query long, rep long, score double")
+    cells = reps.select("rep", "vector").mapInArrow(kernels.tidy(deal), placed).unionByName(distinct.mapInArrow(kernels.tidy(ask), placed))
+    scored = cells.repartition(parts, "cell").sortWithinPartitions("cell", F.desc("asks")).mapInArrow(kernels.tidy(search_cells), "query long, rep long, score double")
     # a vector found in several trees has one score
     scored = scored.groupBy("query", "rep").agg(F.min("score").alias("score"))
     near = Window.partitionBy("query").orderBy("score", "rep")

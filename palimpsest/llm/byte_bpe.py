@@ -290,7 +290,7 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", offsets: bool
                     columns.append(_binary(np.concatenate(flat).astype("<u8"), ends * 8))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return kept.mapInArrow(run, with_fields(kept.schema, **dict.fromkeys(extra, "binary")))
+    return kept.mapInArrow(kernels.tidy(run), with_fields(kept.schema, **dict.fromkeys(extra, "binary")))
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", starts_col: str = "token_starts") -> DataFrame:
@@ -317,7 +317,7 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", starts_col: str
                     [*(batch.column(i).slice(lo, hi - lo) for i in kept), text], names=names
                 )
 
-    return df.mapInArrow(run, with_fields(df.drop(starts_col, "decoded").schema, decoded="binary"))
+    return df.mapInArrow(kernels.tidy(run), with_fields(df.drop(starts_col, "decoded").schema, decoded="binary"))
 
 
 def token_digests(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -141,14 +141,14 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sorted(f) for f in search(batch)], pa.list_(pa.int64()))], names=names)
 
-        return kept.mapInArrow(tell, with_fields(kept.schema, items="array<bigint>"))
+        return kept.mapInArrow(kernels.tidy(tell), with_fields(kept.schema, items="array<bigint>"))
     scratch = Scratch(docs.sparkSession, "decontaminate")
     digest = [F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col)]
     texts = kept.where(F.length(text_col) > 0).select(F.col(text_col).alias("text"), *(d.alias(f"d{k}") for k, d in enumerate(digest)))
     passes = []
     for index in chain([first, second], blocks):
         shared = context.broadcast(index)
-        passes.append(scratch.write(texts.mapInArrow(_finding_batches(_search_batches(shared, 0)), "d0 long, d1 long, items array<bigint>").distinct()))
+        passes.append(scratch.write(texts.mapInArrow(kernels.tidy(_finding_batches(_search_batches(shared, 0))), "d0 long, d1 long, items array<bigint>").distinct()))
         shared.destroy()
     found = scratch.last(reduce(DataFrame.union, passes).groupBy("d0", "d1").agg(F.sort_array(F.flatten(F.collect_list("items"))).alias("items")))  # a row a block at most
     few = found.limit(BROADCAST_FOUND + 1).count() <= BROADCAST_FOUND

@@ -428,4 +428,4 @@ def extract_main_text(df: DataFrame, html_col: str = "html", out_col: str = "tex
                     [*(batch.column(i) for i in others), pa.array(texts, pa.string()), pa.array([len(p.blocks) for p in pages], pa.int64())], names=names
                 )
 
-    return kept.mapInArrow(run, with_fields(kept.drop(html_col).schema, **{out_col: "string", "n_blocks": "long"}))
+    return kept.mapInArrow(kernels.tidy(run), with_fields(kept.drop(html_col).schema, **{out_col: "string", "n_blocks": "long"}))

@@ -7,6 +7,10 @@ function says otherwise. No kernel looks across the border of two texts.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -20,6 +24,22 @@ _LOWER[65:91] += 32
 CHUNK_BYTES = 1 << 19
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with its memory given back when a task ends: workers live on, and an executor's memory holds them all."""
+
+    def task(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return task
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values (shifts and odd multipliers)."""
     x = x.astype(U64, copy=True)

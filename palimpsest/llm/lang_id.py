@@ -211,7 +211,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
                 names=out_names,
             )
 
-    return ready.mapInArrow(run, with_fields(kept.schema, lang_pred="string", score="double", bits_per_byte="double", foreign="boolean"))
+    return ready.mapInArrow(kernels.tidy(run), with_fields(kept.schema, lang_pred="string", score="double", bits_per_byte="double", foreign="boolean"))
 
 
 def _in_pieces(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

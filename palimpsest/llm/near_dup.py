@@ -129,7 +129,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "near_dup")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = scratch.write(texts.mapInArrow(_sketch_batches(shingle, k), "id long, n long, mark binary, sketch array<long>"))
+    sketched = scratch.write(texts.mapInArrow(kernels.tidy(_sketch_batches(shingle, k)), "id long, n long, mark binary, sketch array<long>"))
 
     worded = sketched.where("mark is not null and id is not null")
     reps = scratch.write(worded.groupBy("mark").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")))
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """(id, payload) of a table of ids: their full sets, made again from the texts."""
         few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         chosen = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-        return chosen.mapInArrow(_set_batches(shingle), "id long, payload binary")
+        return chosen.mapInArrow(kernels.tidy(_set_batches(shingle)), "id long, payload binary")
 
     def verify(pairs: DataFrame) -> DataFrame:
         sketches = reps.select("id", "sketch", "n")
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = near.join(sets.select(F.col("id").alias("b"), F.col("payload").alias("mb")), "b").join(
             sets.select(F.col("id").alias("a"), F.col("payload").alias("ma")), "a"
         )
-        return full.select("a", "b", "ma", "mb").mapInArrow(_jaccard_batches(percent), "a long, b long")
+        return full.select("a", "b", "ma", "mb").mapInArrow(kernels.tidy(_jaccard_batches(percent)), "a long, b long")
 
     four = reps.where("n = 4").select(F.col("sketch").alias("values"), F.col("id").alias("s"))
     fives = reps.where("n = 5").select(F.explode(F.array(*(F.array(*(F.col("sketch")[i] for i in range(5) if i != gone)) for gone in range(5)))).alias("values"), F.col("id").alias("t"))

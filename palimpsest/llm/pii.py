@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm import kernels
 from palimpsest.llm.spark_io import with_fields
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -246,7 +247,7 @@ def detect_pii(df: DataFrame, text_col: str = "text", span_col: str = "pii_spans
                 found.append([{"kind": k, "start": a, "end": b} for a, b, k in find_spans(text)] if text else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, SPAN_TYPE)], names=names)
 
-    return kept.mapInArrow(run, with_fields(kept.schema, **{span_col: "array<struct<kind:string,start:bigint,end:bigint>>"}))
+    return kept.mapInArrow(kernels.tidy(run), with_fields(kept.schema, **{span_col: "array<struct<kind:string,start:bigint,end:bigint>>"}))
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:

@@ -176,7 +176,7 @@ def write_token_orc(docs: DataFrame, path: str, vocabulary: str, id_col: str = "
         .sortWithinPartitions("doc_id", "text")
     )
     (
-        ranged.mapInArrow(run, FILE_SCHEMA)
+        ranged.mapInArrow(kernels.tidy(run), FILE_SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", str(index_stride))
@@ -213,4 +213,4 @@ def with_crc(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept_at), pa.array(crc, pa.int64())], names=[*kept, "ids_crc32"])
 
-    return tokens.mapInArrow(run, with_fields(tokens.select(*kept).schema, ids_crc32="long"))
+    return tokens.mapInArrow(kernels.tidy(run), with_fields(tokens.select(*kept).schema, ids_crc32="long"))

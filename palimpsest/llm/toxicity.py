@@ -188,7 +188,7 @@ def fit_on_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held_ou
     rows_ = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= length)).join(picked, "doc_id")
     sample = bounded_sample(rows_, "toxic", "doc_id", rows).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     # the bounded sample is one task's work, so the driver holds the weights alone
-    told = sample.repartition(1).mapInArrow(_fit_batches, "weights binary, bias double").collect()
+    told = sample.repartition(1).mapInArrow(kernels.tidy(_fit_batches), "weights binary, bias double").collect()
     return ToxicityModel(np.frombuffer(told[0].weights, dtype=np.float32), told[0].bias) if told else fit([], np.zeros(0))
 
 
@@ -215,4 +215,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
                 scores[lo:hi] = own.score(data[part[0] : part[-1]], part - part[0])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=names)
 
-    return kept.mapInArrow(run, with_fields(kept.schema, score="double"))
+    return kept.mapInArrow(kernels.tidy(run), with_fields(kept.schema, score="double"))
