@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernels
-from palimpsest.llm.components import linked_groups
+from palimpsest.llm.components import Side, linked_groups, meets
 from palimpsest.llm.spark_io import Scratch
 
 SKETCH = 40
@@ -91,7 +91,7 @@ def _jaccard_batches(percent: int):
 def _links_within(percent: int, k: int, least_shared: int):
     """Links between seekers and sought (packed sorted sets) of different groups, a link for two groups at least."""
 
-    def run(seekers, sought, group, other_group):
+    def run(seekers, sought, side: Side, other_side: Side):
         mine, theirs = [np.frombuffer(p, np.int64) for p in seekers], [np.frombuffer(p, np.int64) for p in sought]
         sizes = np.array([len(t) for t in theirs])
         heads = [t[:k] for t in theirs]
@@ -107,10 +107,10 @@ def _links_within(percent: int, k: int, least_shared: int):
             # a sketch that holds its set whole shows the least overlap the similarity allows
             need = np.where(np.maximum(sizes, len(own)) <= k, -(-np.maximum(sizes, len(own)) * percent // 100), least_shared)
             near = (shared >= np.minimum(need, least_shared)) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own)))
-            done = {group[i]}
-            for j in np.flatnonzero(near & (other_group != group[i])):
-                if other_group[j] not in done and _similar(own, theirs[j], percent):
-                    done.add(other_group[j])
+            done = set()
+            for j in np.flatnonzero(near & meets(side, i, other_side)):
+                if other_side.groups[j] not in done and _similar(own, theirs[j], percent):
+                    done.add(other_side.groups[j])
                     yield i, j
 
     return run
