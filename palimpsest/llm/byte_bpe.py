@@ -261,6 +261,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+kernels.KEPT[__name__] = encoder.cache_clear
+
+
 def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values).tobytes())]).cast(pa.binary())
 
